@@ -17,7 +17,7 @@ from loomgrid.llm.words import U, WordHasher, mix, shingles
 
 #: Words of a shingle; two sets link when PERCENT * union <= 100 * intersection.
 WORDS, PERCENT = 5, 80
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A key that so many sets of one slice have is folded there; one that more than HOT sets of the
 #: corpus have is used only by sets that need it (see ``link``).
 FOLD, HOT = 16, 64
@@ -249,12 +249,13 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
 
 
 def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
-    """Sets of the involved classes, from the texts of their representatives: ``cls, n, g, sketch,
-    tags, full`` (hashes sorted, and the number of non-empty blocks for each tag)."""
+    """Sets of the involved classes, from the texts of their representatives: the leader ``a`` that
+    each meets first and the parts that it and they are dealt into, as ``involved`` has them, then
+    ``n, g, sketch, tags, full`` (hashes sorted; the number of non-empty blocks for each tag)."""
     small = involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = rows.join(F.broadcast(involved) if small else involved, rows["id"] == involved["rep"]).select("cls", "text")
+    chosen = rows.join(F.broadcast(involved) if small else involved, rows["id"] == involved["rep"]).select("cls", "a", "parts", "heads", "text")
     long = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("g", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("tags", long), T.StructField("full", long)])
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("a", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("heads", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("g", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("tags", long), T.StructField("full", long)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(letters=False)
@@ -272,26 +273,47 @@ def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
                     todo = todo[some < np.array([most_apart(t // _SEEDS) + 1 for t in tag.tolist()])]
             g = [sets.of(i) for i in own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.cls[own].view(np.int64)), pa.array(sets.n[own]), pa.array([x.tobytes() for x in g], pa.binary()), pa.array([sketch(x) for x in g], pa.binary()), pa.array([tags[i] for i in own], pa.list_(pa.int64())), pa.array([full[i] for i in own], pa.list_(pa.int64()))],
+                [*(b.column(c).take(pa.array(own)) for c in ("cls", "a", "parts", "heads")), pa.array(sets.n[own]), pa.array([x.tobytes() for x in g], pa.binary()), pa.array([sketch(x) for x in g], pa.binary()), pa.array([tags[i] for i in own], pa.list_(pa.int64())), pa.array([full[i] for i in own], pa.list_(pa.int64()))],
                 schema.names,
             )
 
     return chosen.mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, salt_rows: int = 256) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, by exact intersections.
+#: Partners of one set that are streamed past it in one task.
+PART_ROWS = 256
 
-    The sets of all ``b`` are laid behind that of their ``a`` and streamed past it, so a task holds
-    one set.  An ``a`` with many partners is repeated for every ``salt_rows`` of them.
-    """
-    pairs = pairs.select("a", "b").distinct()
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("parts"))
+
+def parts_of(pairs: DataFrame) -> DataFrame:
+    """Into how many parts the partners of each ``a`` are dealt."""
+    return pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+
+
+def verify_first(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs of each set with its own leader that link; sets carry all that is needed."""
+    heads = sets.where("heads is not null").select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "g")
+    tails = sets.where("a is not null").select("a", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("salt"), F.col("cls").alias("b"), "g")
+    return _streamed(heads.unionByName(tails), percent)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` whose sets link."""
+    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     own = sets.select("cls", "g")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else all sets are dealt, which only costs more
+        own = own.join(F.broadcast(ids), "cls", "left_semi")
+    parts = parts_of(pairs)
     heads = parts.join(own, parts["a"] == own["cls"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "g")
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b")
     tails = dealt.join(own, dealt["b"] == own["cls"]).select("a", "salt", "b", "g")
-    laid = heads.unionByName(tails).repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return _streamed(heads.unionByName(tails), percent)
+
+
+def _streamed(rows: DataFrame, percent: int) -> DataFrame:
+    """Exact intersections of ``a`` (rows without ``b``) with the rows laid behind it, so that a
+    task holds one set; an ``a`` with many partners is there once for every part of them."""
+    laid = rows.repartition(shuffle_partitions(rows.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = None, np.zeros(0, U)
@@ -408,11 +430,14 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     classes = listed.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"))
     found = stage(candidates(rows.where("id is not null").select("text"), shuffle_partitions(spark)), "candidates")
     star = stage(found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "star")
+    best = stage(star.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")), "best")
+    parts = stage(parts_of(best), "parts")
     involved = star.select(F.col("a").alias("cls")).unionByName(star.select(F.col("b").alias("cls"))).distinct().join(classes, "cls")
+    involved = involved.join(best.join(parts, "a").withColumnRenamed("b", "cls"), "cls", "left")
+    involved = involved.join(parts.select(F.col("a").alias("cls"), F.col("parts").alias("heads")), "cls", "left")
     sets = stage(_texts_of(rows, stage(involved, "involved")), "hashes")
 
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-    comps = _more(spark.createDataFrame([], "node long, comp long"), stage(verify(best, sets), "links"))
+    comps = _more(spark.createDataFrame([], "node long, comp long"), stage(verify_first(sets), "links"))
     apart_still = lambda p: relabel(relabel(p.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), comps, "ca"), comps, "cb").where("ca <> cb").select("a", "b")
     rest = apart_still(star.join(best, ["a", "b"], "left_anti"))
     comps = _more(comps, stage(verify(near_sketches(rest, sets), sets), "links"))
