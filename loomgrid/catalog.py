@@ -1,4 +1,4 @@
-"""All queries over the reference's own operators, and their SQL."""
+"""All queries over the engine's own operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgrid.plans.queries import QUERIES, SQL
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
