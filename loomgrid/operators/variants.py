@@ -65,7 +65,8 @@ def trim(ref: Column, alt: Column, pos: Column) -> list[Column]:
 
     ``pos, ref, alt`` of a biallelic site; both are found from the letters' first difference.
     """
-    shared = lambda a, b, most: F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: (i > most) | (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))) - 1, F.greatest(most, F.lit(0)))
+    # the longest head that both texts begin with, found by matching it again after the line break
+    shared = lambda a, b, most: F.greatest(F.lit(0), F.least(F.length(F.regexp_extract(F.concat(a, F.lit("\n"), b), r"^(.*).*\n\1", 1)), most))
     most = F.least(F.length(ref), F.length(alt)) - 1
     tail = shared(F.reverse(ref), F.reverse(alt), most)
     r, a = F.substring(ref, F.lit(1), F.length(ref) - tail), F.substring(alt, F.lit(1), F.length(alt) - tail)
