@@ -54,7 +54,8 @@ def elements(reads: DataFrame, ref_chunks: DataFrame | None = None, chunk: int =
 
     A base is its letter; an insertion ``+letters`` with the quality of the element before it (the
     inserted bases' mean if it comes first), a deletion ``-`` and the reference letters with the
-    quality before it (the read's mean if first).  Positions are 1-based, ranks count from 1.
+    quality before it (the read's mean if first).  Positions are 1-based, ranks count from 1; the
+    reference letter is that of the position, for an indel that of the position before.
     """
     walked = walk(reads, ["sample_id", "chrom", "mapq", "strand", "seq", "qual"]).where(F.col("op").isin("M", "=", "X", "I", "D"))
     q = lambda at, n: F.transform(F.split(F.substring(F.col("qual"), (at + 1).cast("int"), n), ""), lambda c: F.ascii(c) - 33)
@@ -76,16 +77,14 @@ def elements(reads: DataFrame, ref_chunks: DataFrame | None = None, chunk: int =
     out = out.select("sample_id", "chrom", (F.col("rpos") + 1).alias("pos"), "op", "len", "read_base", "bq", "mapq", "strand", (F.col("qpos") + 1).alias("rpr"))
     if ref_chunks is None:
         return out.withColumn("ref_base", F.lit(None).cast("string"))
-    # the letters may run over a chunk's end: chunks carry the letters that follow them
-    ref = ref_chunks.select("chrom", F.col("chunk"), "seq")
-    joined = out.withColumn("chunk", F.floor((F.col("pos") - 1) / chunk)).join(ref, ["chrom", "chunk"], "left")
-    at = F.col("pos") - F.col("chunk") * chunk
-    letters = F.upper(F.substring(F.col("seq"), at.cast("int"), F.when(F.col("op") == "D", F.col("len")).otherwise(1)))
-    return (
-        joined.withColumn("ref_base", F.when(F.col("op") == "I", "").otherwise(letters))
-        .withColumn("read_base", F.when(F.col("op") == "D", F.concat(F.lit("-"), letters)).otherwise(F.col("read_base")))
-        .drop("chunk", "seq", "op", "len")
-    )
+    # an indel is looked up from the letter before it; chunks carry the letters that follow them
+    ref = ref_chunks.select("chrom", "chunk", F.col("seq").alias("letters"))
+    indel = F.col("op").isin("I", "D")
+    from_pos = F.col("pos") - F.when(indel, 1).otherwise(0)
+    joined = out.withColumn("chunk", F.floor((from_pos - 1) / chunk)).join(ref, ["chrom", "chunk"], "left")
+    at = (from_pos - F.col("chunk") * chunk).cast("int")
+    first, deleted = F.upper(F.substring("letters", at, F.lit(1))), F.upper(F.substring("letters", at + 1, F.col("len")))
+    return joined.withColumns({"ref_base": first, "read_base": F.when(F.col("op") == "D", F.concat(F.lit("-"), deleted)).otherwise(F.col("read_base"))}).drop("chunk", "letters", "op", "len")
 
 
 def relocate_indels(rows: DataFrame) -> DataFrame:
