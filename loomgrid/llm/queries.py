@@ -101,5 +101,21 @@ from s qualify rank <= 20
 """
 
 
+_OP9 = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+sh as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) end) s from w),
+n as (select doc_id, count(*) n from sh group by doc_id),
+pairs as (select a.doc_id a, b.doc_id b, count(*) i from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join n x on a = x.doc_id join n y on b = y.doc_id where 100 * i >= 80 * (x.n + y.n - i)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id d, doc_id r from w union select reach.d, edges.b from reach join edges on reach.r = edges.a)
+select w.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(reach.r) component_id
+from w join reach on w.doc_id = reach.d left join n on w.doc_id = n.doc_id group by w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op4_exact_topk": _OP4}
+    return {"op1_url_filter": _OP1, "op4_exact_topk": _OP4, "op9_ngram_jaccard": _OP9}
