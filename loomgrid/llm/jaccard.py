@@ -21,6 +21,8 @@ SLICE_BYTES = 1 << 20
 #: A key that so many sets of one slice have is folded there; one that more than HOT sets of the
 #: corpus have is used only by sets that need it (see ``link``).
 FOLD, HOT = 16, 64
+#: About so many keys are sorted at once where they meet.
+MEET_ROWS = 128 << 10
 #: Ids of sets that may be broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SEEDS, _TAG_BITS = 16, 11
@@ -222,7 +224,7 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:])], blob.names)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, cls, marked = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, U)]
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
             for kind, k, at, names in zip(*(b.column(n).to_pylist() for n in ("kind", "keys", "at", "names"))):
                 k, names = np.frombuffer(k, U), np.frombuffer(names, U)
@@ -232,17 +234,23 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
                     yield _rows(1, k, c)
                     yield _rows(1, *_pairs(k, names)[:2])
                 else:
-                    if kind == 2:
-                        marked.append(k)
-                    keys.append(k)
-                    cls.append(names[np.frombuffer(at, np.uint16 if len(at) == 2 * len(k) else np.uint32)])
-        k, c, each, lead, _ = _leaders(np.concatenate(keys), np.concatenate(cls))
-        some = (each > 1) & (c != lead)
-        if some.any():
-            yield _rows(0, *_pairs(lead[some], c[some]))
-        more = (each > 2) | (each > 1) & np.isin(k, np.concatenate(marked))  # a pair needs no more than its own row
-        if more.any():
-            yield _rows(1, k[more], c[more])
+                    held.append((kind, k, np.frombuffer(at, np.uint16 if len(at) == 2 * len(k) else np.uint32), names))
+        # a range of keys at a time, so that what sorting takes doesn't follow the partition's size
+        some = np.sort(np.concatenate([np.zeros(0, U), *(k[::64] for _, k, _, _ in held)]))
+        borders = some[MEET_ROWS // 64 :: MEET_ROWS // 64]
+        cuts = [np.concatenate([[0], np.searchsorted(k, borders), [len(k)]]) for _, k, _, _ in held]
+        for i in range(len(borders) + 1):
+            part = [(kind, k[c[i] : c[i + 1]], names[at[c[i] : c[i + 1]]]) for (kind, k, at, names), c in zip(held, cuts) if c[i] < c[i + 1]]
+            if not part:
+                continue
+            k, c, each, lead, _ = _leaders(np.concatenate([x[1] for x in part]), np.concatenate([x[2] for x in part]))
+            follows = (each > 1) & (c != lead)
+            if follows.any():
+                yield _rows(0, *_pairs(lead[follows], c[follows]))
+            marked = np.concatenate([np.zeros(0, U), *(x[1] for x in part if x[0] == 2)])
+            more = (each > 2) | (each > 1) & np.isin(k, marked)  # a pair needs no more than its own row
+            if more.any():
+                yield _rows(1, k[more], c[more])
 
     packed = texts.mapInArrow(spread, blob).repartition(buckets, "bucket")
     return packed.mapInArrow(meet, _OUT)
