@@ -239,6 +239,14 @@ def test_join_near_the_limit(spark, seed):
     assert {i: g for i, g in got.items() if g != want[i]} == {}
 
 
+def test_join_with_all_bounds_met(spark, monkeypatch):
+    for name, value in (("CHUNK", 8), ("PART_ROWS", 4), ("BROADCAST_IDS", 10), ("HOT", 3), ("SLICE_BYTES", 2000), ("MEET_ROWS", 640), ("FOLD", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = dict(enumerate(variants(7)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link(docs).collect()} == brute(texts)
+
+
 def test_join_of_odd_rows(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "x"), (7, "A B C D E F"), (9, None)], "doc_id long, text string")
     got = sorted(((x.doc_id or 0), x.n_shingles, x.component_id) for x in jaccard.link(docs).where("n_shingles <> 1").collect())
