@@ -17,12 +17,15 @@ from loomgrid.llm.words import U, WordHasher, mix, shingles
 
 #: Words of a shingle; two sets link when PERCENT * union <= 100 * intersection.
 WORDS, PERCENT = 5, 80
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 #: A key that so many sets of one slice have is folded there; one that more than HOT sets of the
 #: corpus have is used only by sets that need it (see ``link``).
-FOLD, HOT = 16, 64
+FOLD, HOT = 16, 16
+#: Sets of a group that are compared with each other, or with as many others, in one step; words of
+#: the short sketches that are compared first.
+CHUNK, SHORT_WORDS = 256, 16
 #: About so many keys are sorted at once where they meet.
-MEET_ROWS = 128 << 10
+MEET_ROWS = 64 << 10
 #: Ids of sets that may be broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SEEDS, _TAG_BITS = 16, 11
@@ -50,7 +53,7 @@ def most_apart(level: int, percent: int = PERCENT) -> int:
 def n_blocks(level: int, seed: int, percent: int = PERCENT) -> int:
     """Blocks of a level's sketch: one more than differences, and some to spare, more with each seed."""
     d = most_apart(level, percent)
-    return d + 1 + (1 + d // 6) * 2**seed
+    return d + 1 + (1 + d // 3) * 2**seed
 
 
 class Sets:
@@ -135,6 +138,13 @@ def sketch(g: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def short_sketch(g: np.ndarray) -> bytes:
+    """A parity sketch of one length for all sets."""
+    bits = 64 * SHORT_WORDS
+    at = (mix(g ^ U(0x8EBC6AF09C88C6E3)) & U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
 def apart(x: bytes, y: bytes) -> int:
     """A lower bound of the symmetric difference: the Hamming distance of two parity sketches."""
     if len(x) > len(y):
@@ -259,11 +269,11 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
 def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
     """Sets of the involved classes, from the texts of their representatives: the leader ``a`` that
     each meets first and the parts that it and they are dealt into, as ``involved`` has them, then
-    ``n, g, sketch, tags, full`` (hashes sorted; the number of non-empty blocks for each tag)."""
+    ``n, g, sketch, short, tags, full`` (hashes sorted; the number of non-empty blocks for each tag)."""
     small = involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = rows.join(F.broadcast(involved) if small else involved, rows["id"] == involved["rep"]).select("cls", "a", "parts", "heads", "text")
     long = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("a", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("heads", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("g", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("tags", long), T.StructField("full", long)])
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("a", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("heads", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("g", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("tags", long), T.StructField("full", long)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(letters=False)
@@ -281,7 +291,7 @@ def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
                     todo = todo[some < np.array([most_apart(t // _SEEDS) + 1 for t in tag.tolist()])]
             g = [sets.of(i) for i in own]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(pa.array(own)) for c in ("cls", "a", "parts", "heads")), pa.array(sets.n[own]), pa.array([x.tobytes() for x in g], pa.binary()), pa.array([sketch(x) for x in g], pa.binary()), pa.array([tags[i] for i in own], pa.list_(pa.int64())), pa.array([full[i] for i in own], pa.list_(pa.int64()))],
+                [*(b.column(c).take(pa.array(own)) for c in ("cls", "a", "parts", "heads")), pa.array(sets.n[own]), pa.array([x.tobytes() for x in g], pa.binary()), pa.array([sketch(x) for x in g], pa.binary()), pa.array([short_sketch(x) for x in g], pa.binary()), pa.array([tags[i] for i in own], pa.list_(pa.int64())), pa.array([full[i] for i in own], pa.list_(pa.int64()))],
                 schema.names,
             )
 
@@ -387,17 +397,45 @@ def _open_rows(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFra
     return several.where(F.col("df") <= HOT).select("key", "cls", "comp").unionByName(kept.select("key", "cls", "comp"))
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within a key's group.
+def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of different components within a key's group whose sizes and short sketches allow a link.
 
-    Groups are dealt into chunks of about ``HOT``; each two chunks meet on their own.
+    Groups are dealt into chunks of about ``CHUNK`` sets and each two chunks meet on their own, as
+    runs of a sorted partition; pairs are compared there and only those that may link come out.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("chunks"))
-    cut = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    low = cut.select("key", F.col("chunk").alias("lo"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("hi"), F.col("cls").alias("a"), F.col("comp").alias("ca"))
-    high = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("lo"), F.col("chunk").alias("hi"), F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    met = low.join(high, ["key", "lo", "hi"]).where((F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    cut = rows.join(sizes, "key").join(sets.select("cls", "n", "short").dropDuplicates(["cls"]), "cls")
+    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, chunk).alias("lo"), F.greatest(j, chunk).alias("hi"), (chunk < j).alias("low")))
+    met = cut.withColumn("e", F.explode(ends)).select("key", "e.lo", "e.hi", "e.low", "cls", "comp", "n", "short")
+    laid = met.repartition(shuffle_partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        one = lambda c: t.column(c).to_numpy()
+        cls, comp, n, low = one("cls"), one("comp"), one("n"), t.column("low").to_numpy(zero_copy_only=False)
+        bits = np.frombuffer(b"".join(t.column("short").to_pylist()), U).reshape(len(cls), SHORT_WORDS)
+        same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        x, y = np.triu_indices(len(cls), 1) if same else (v.ravel() for v in np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low), indexing="ij"))
+        fine = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        x, y = x[fine], y[fine]
+        d = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        fine = d * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+        return np.minimum(cls[x[fine]], cls[y[fine]]), np.maximum(cls[x[fine]], cls[y[fine]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            ids = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")])
+            starts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)]))
+            rest = t.slice(int(starts[-1]))  # its run may go on in the next batch
+            found = [compare(t.slice(int(a), int(b - a))) for a, b in zip(starts[:-1], starts[1:]) if b - a > 1]
+            yield _rows(0, *_pairs(*(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1)))[:2])
+        if rest is not None and rest.num_rows > 1:
+            yield _rows(0, *_pairs(*compare(rest))[:2])
+
+    return laid.mapInArrow(run, _OUT).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def _more(comps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -450,7 +488,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rest = apart_still(star.join(best, ["a", "b"], "left_anti"))
     comps = _more(comps, stage(verify(near_sketches(rest, sets), sets), "links"))
     members = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("cls")).distinct()
-    last = near_sketches(cross_pairs(_open_rows(members, comps, sets)), sets)
+    last = near_sketches(cross_pairs(_open_rows(members, comps, sets), sets), sets)
     comps = _more(comps, stage(verify(last, sets), "links"))
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
