@@ -374,7 +374,7 @@ def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
 
 
 def _open_rows(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows ``key, cls, comp`` of groups that still hold several components.
+    """Rows ``key, cls, comp, df`` of groups that still hold several components; ``df`` is their size.
 
     A key that more than ``HOT`` sets have stays only for sets that need it: one whose other,
     non-empty blocks at that level and seed still number more than ``most_apart`` meets each of its
@@ -387,14 +387,14 @@ def _open_rows(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFra
     several = known.where("several")
     hot = known.where(F.col("df") > HOT)
     if hot.where("several").isEmpty():
-        return several.select("key", "cls", "comp")
+        return several.select("key", "cls", "comp", "df")
     tag = F.col("key").bitwiseAND(F.lit(2**_TAG_BITS - 1))
     used = hot.groupBy("cls", tag.alias("tag")).agg(F.count("*").alias("hot"))
     need = F.create_map(*[x for level in range(125) for x in (F.lit(level), F.lit(most_apart(level) + 1))])
     full = sets.select("cls", F.explode(F.arrays_zip("tags", "full")).alias("t")).select("cls", F.col("t.tags").alias("tag"), F.col("t.full").alias("full")).dropDuplicates(["cls", "tag"])
     free = used.join(full, ["cls", "tag"]).where(F.col("full") - F.col("hot") >= need[(F.col("tag") / _SEEDS).cast("int")]).select("cls", "tag")
     kept = several.where(F.col("df") > HOT).withColumn("tag", tag).join(free, ["cls", "tag"], "left_anti")
-    return several.where(F.col("df") <= HOT).select("key", "cls", "comp").unionByName(kept.select("key", "cls", "comp"))
+    return several.where(F.col("df") <= HOT).select("key", "cls", "comp", "df").unionByName(kept.select("key", "cls", "comp", "df"))
 
 
 def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -403,8 +403,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
     Groups are dealt into chunks of about ``CHUNK`` sets and each two chunks meet on their own, as
     runs of a sorted partition; pairs are compared there and only those that may link come out.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    cut = rows.join(sizes, "key").join(sets.select("cls", "n", "short").dropDuplicates(["cls"]), "cls")
+    cut = rows.withColumn("chunks", F.ceil(F.col("df") / CHUNK).cast("int")).join(sets.select("cls", "n", "short").dropDuplicates(["cls"]), "cls")
     chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     ends = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, chunk).alias("lo"), F.greatest(j, chunk).alias("hi"), (chunk < j).alias("low")))
     met = cut.withColumn("e", F.explode(ends)).select("key", "e.lo", "e.hi", "e.low", "cls", "comp", "n", "short")
@@ -487,7 +486,8 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     apart_still = lambda p: relabel(relabel(p.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), comps, "ca"), comps, "cb").where("ca <> cb").select("a", "b")
     rest = apart_still(star.join(best, ["a", "b"], "left_anti"))
     comps = _more(comps, stage(verify(near_sketches(rest, sets), sets), "links"))
-    members = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("cls")).distinct()
+    # a set may stand twice with a key that was folded; then it only counts as more frequent
+    members = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("cls"))
     last = near_sketches(cross_pairs(_open_rows(members, comps, sets), sets), sets)
     comps = _more(comps, stage(verify(last, sets), "links"))
 
