@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,11 +27,13 @@ BROADCAST_GRAMS = 1_000_000
 @dataclass(frozen=True)
 class Template:
     """``base``: the phrase counts wherever it stands word for word; else a span that covers
-    ``COVER`` of it gives the label."""
+    ``COVER`` of it gives the label.  ``marks``: short phrases of the text, each of which the span
+    must have, since other licences differ in them."""
 
     label: str
     text: str
     base: bool = False
+    marks: tuple[str, ...] = ()
 
 
 #: The phrases of the contract.
@@ -42,17 +45,25 @@ PHRASES = (
 #: Opening words of public licences, as their own texts have them.
 NOTICES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    Template("apache-2", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license"),
+    Template("apache-2", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license", marks=("apache license",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("gpl-3", "licensed under the gnu general public license version 3"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license"),
-    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license"),
+    Template("gpl-3", "licensed under the gnu general public license version 3", marks=("gnu general", "version 3")),
+    Template("gpl-3", "licensed under the gnu general public license v3", marks=("gnu general", "v3")),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", marks=("gnu general",)),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2.0", marks=("mozilla public",)),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license", marks=("noncommercial",)),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution non commercial license", marks=("non commercial",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license", marks=("sharealike",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution share alike license", marks=("share alike",)),
 )
 
 
+def _words(text: str) -> list[str]:
+    """Words of a template, split where the hasher splits them."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
 def template_grams(templates: Iterable[Template]) -> list[tuple[int, str, int, int, bool, int, int]]:
     """A row per k-gram: template, label, words, grams, base, position and hash."""
     hasher, out = WordHasher(letters=True), []
@@ -92,8 +103,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, *
     All rolling word k-gram hashes join the templates' positions.  Hits vote for the diagonal
     (place in the text minus place in the template); neighbouring diagonals of a template merge
     into a span, which is verified: a base phrase needs every gram on one diagonal, which chains
-    its words in order; another template needs ``COVER`` of its grams within ``DRIFT`` words of
-    drift and inside its own length.  ``n_base`` counts places of base phrases, ``first_word`` and
+    its words in order; another template needs ``COVER`` of its grams, each counted once, within
+    ``DRIFT`` words of drift in all and inside its own length and that drift, and the words that
+    tell it from other licences.  ``n_base`` counts places of base phrases, ``first_word`` and
     ``last_word`` are their smallest and largest start, ``score`` is 1 with a base phrase, else the
     largest share of a template that a verified span covers, else 0.
 
@@ -110,16 +122,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, *
     text = word_grams(docs, id_col=id_col, text_col=text_col)
     joined = text.join(known, (F.col("pos") >= 0) & (text["hash"] == known["hash"]), "left").drop(known["hash"])
     # what hit nothing has a null template and folds, before the shuffle, into its document's own row
-    votes = joined.groupBy("uid", "id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.max(F.when(F.col("pos") < 0, F.col("hash"))).alias("n_words"), F.count("tpos").cast("int").alias("hits")
-    )
-    vote = F.struct("template", "diagonal", "hits")
-    each = votes.groupBy("uid", "id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(F.when(F.col("template").isNotNull(), vote))).alias("votes"))
+    hits = joined.groupBy("uid", "id", "template", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.max(F.when(F.col("pos") < 0, F.col("hash"))).alias("n_words"))
+    hit = F.struct("template", "diagonal", "tpos")
+    each = hits.groupBy("uid", "id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(F.when(F.col("template").isNotNull(), hit))).alias("hits"))
     labels = F.array(*[F.lit(t.label) for t in templates])
-    needed = F.array(*[F.lit(sum(1 for g in grams if g[0] == i)) for i in range(len(templates))])
-    base = F.array(*[F.lit(t.base) for t in templates])
-    exact = F.filter("votes", lambda v: F.get(base, v.template) & (v.hits >= F.get(needed, v.template)))
-    found = each.withColumn("exact", exact).withColumn("spans", merged(F.filter("votes", lambda v: ~F.get(base, v.template)), needed))
+    found = each.withColumn("exact", diagonals(F.col("hits"), templates, grams)).withColumn("spans", spans(F.col("hits"), templates, grams))
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda v: F.get(labels, v.template)))), ",")
     return found.select(
         F.col("id").alias(id_col),
@@ -133,22 +140,76 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, *
     )
 
 
-def merged(votes: Column, needed: Column) -> Column:
-    """Verified spans, out of votes sorted by template and diagonal: array of ``template, share``.
+def told_apart(templates: tuple[Template, ...], grams: list[tuple]) -> list[list[list[int]]]:
+    """For each template the sets of gram positions of which a span must hit one each: the grams
+    that hold a mark, and those that a template of another label lacks, where the grams it shares
+    would be enough for ``COVER``."""
+    own = [{g[5]: g[6] for g in grams if g[0] == i} for i in range(len(templates))]
+    out = []
+    for i, t in enumerate(templates):
+        text = _words(t.text)
+        sets = []
+        for mark in map(_words, t.marks):
+            sets.append([p for p in own[i] if any(text[p + j : p + j + len(mark)] == mark for j in range(K - len(mark) + 1))])
+            if not sets[-1]:
+                raise ValueError(f"a mark must be {K} words of its template at most: {mark!r}")
+        for j, other in enumerate(templates):
+            if not (t.base or other.base or t.label == other.label):
+                lacks = [p for p, g in own[i].items() if g not in own[j].values()]
+                if lacks and len(own[i]) - len(lacks) >= COVER * len(own[i]):
+                    sets.append(lacks)
+        out.append(sets)
+    return out
+
+
+def _window(hits: Column, h: Column, i: Column, width: int, most: int) -> Column:
+    """Of hits sorted by template and diagonal, those from place ``i`` on of the same template and at most ``width`` diagonals on."""
+    return F.filter(F.slice(hits, i + 1, most), lambda x: (x.template == h.template) & (x.diagonal - h.diagonal <= width))
 
-    A vote within ``DRIFT`` of the one before, for the same template, joins its span; the share is
-    that of the template's grams, 1 at most.
-    """
-    state = "struct<template:int,diagonal:int,hits:int,out:array<struct<template:int,share:double>>>"
 
-    def closed(s: Column) -> Column:
-        share = F.when(s.template >= 0, F.least(F.lit(1.0), s.hits / F.get(needed, s.template)))
-        return F.when(F.coalesce(share, F.lit(0.0)) >= COVER, F.concat(s.out, F.array(F.struct(s.template.alias("template"), share.alias("share"))))).otherwise(s.out)
+def _opens(hits: Column, h: Column, i: Column) -> Column:
+    """Whether a hit is the first of its diagonal."""
+    before = F.get(hits, i - 1)
+    return (i == 0) | (before.template != h.template) | (before.diagonal != h.diagonal)
 
-    def add(s: Column, v: Column) -> Column:
-        joins = (s.template == v.template) & (v.diagonal - s.diagonal <= DRIFT)
-        hits = F.when(joins, s.hits).otherwise(F.lit(0)) + v.hits
-        return F.struct(v.template.alias("template"), v.diagonal.alias("diagonal"), hits.alias("hits"), F.when(joins, s.out).otherwise(closed(s)).alias("out")).cast(state)
 
-    start = F.struct(F.lit(-1).alias("template"), F.lit(0).alias("diagonal"), F.lit(0).alias("hits"), F.array().alias("out")).cast(state)
-    return F.aggregate(votes, start, add, closed)
+def diagonals(hits: Column, templates: tuple[Template, ...], grams: list[tuple]) -> Column:
+    """Places of base phrases, array of ``template, diagonal``: every gram on one diagonal."""
+    needed = [sum(g[0] == i for g in grams) for i in range(len(templates))]
+    base, need = F.array(*[F.lit(t.base) for t in templates]), F.array(*map(F.lit, needed))
+    most = max((n for n, t in zip(needed, templates) if t.base), default=1)
+
+    def full(x: Column) -> Column:
+        return F.filter(x, lambda h, i: _opens(x, h, i) & (F.size(_window(x, h, i, 0, most)) >= F.get(need, h.template)))
+
+    own = F.filter(hits, lambda h: F.get(base, h.template))
+    # an array of one lets the hits be made once and used by name
+    return F.transform(F.flatten(F.transform(F.array(own), full)), lambda h: F.struct(h.template.alias("template"), h.diagonal.alias("diagonal")))
+
+
+def spans(hits: Column, templates: tuple[Template, ...], grams: list[tuple]) -> Column:
+    """Verified spans of the other templates: array of ``template, share``.
+
+    A span begins at a hit diagonal and has the hits of the ``DRIFT`` diagonals after it, so that its
+    drift is bounded as a whole, and its length by the template's and ``DRIFT``.  Grams of the
+    template count once each, and so do places in the text.  One of each of ``told_apart``'s sets
+    must be hit.
+    """
+    needed = [sum(g[0] == i for g in grams) for i in range(len(templates))]
+    base, need = F.array(*[F.lit(t.base) for t in templates]), F.array(*map(F.lit, needed))
+    none = F.array().cast("array<array<int>>")
+    apart = F.array(*[F.array(*[F.array(*map(F.lit, s)) for s in sets]) if sets else none for sets in told_apart(templates, grams)])
+    most = (DRIFT + 1) * max((n for n, t in zip(needed, templates) if not t.base), default=1)
+
+    def judged(w: Column) -> Column:
+        t = F.get(w, F.lit(0)).template
+        n = F.least(F.size(F.array_distinct(F.transform(w, lambda x: x.tpos))), F.size(F.array_distinct(F.transform(w, lambda x: x.diagonal + x.tpos))))
+        told = F.forall(F.get(apart, t), lambda s: F.exists(w, lambda x: F.array_contains(s, x.tpos)))
+        return F.struct(t.alias("template"), F.when(told, n / F.get(need, t)).otherwise(F.lit(0.0)).alias("share"))
+
+    def each(x: Column) -> Column:
+        opened = F.filter(F.transform(x, lambda h, i: F.when(_opens(x, h, i), _window(x, h, i, DRIFT, most))), lambda w: w.isNotNull())
+        return F.filter(F.transform(opened, judged), lambda s: s.share >= COVER)
+
+    own = F.filter(hits, lambda h: ~F.get(base, h.template))
+    return F.flatten(F.transform(F.array(own), each))

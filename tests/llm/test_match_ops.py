@@ -293,6 +293,23 @@ def test_licences_equal_brute_force(spark, small):
     assert licenses.scan(docs.where("false")).count() == 0
 
 
+def test_licence_spans_are_verified(spark):
+    cc, gnu = "This work is licensed under a Creative Commons Attribution", "licensed under the GNU {}General Public License {}"
+    isc, bsd = licenses.NOTICES[3].text, licenses.NOTICES[2].text.split()
+    spread = "".join(f"{w} " + "x y " * (i % 5 == 4) for i, w in enumerate(bsd))  # two words more after each five
+    want = [
+        (f"{cc} 4.0 International License", ""), (f"{cc} License", ""), (f"{cc}-NoDerivatives 4.0 International License", ""),
+        (f"{cc}-ShareAlike 4.0 International License", "cc-by-sa"), (f"{cc} Share Alike 4.0 License", "cc-by-sa"),
+        (f"{cc}-NonCommercial 4.0 International License", "cc-by-nc"), (f"{cc}-Non-Commercial License", "cc-by-nc"),
+        (gnu.format("", "version 3"), "gpl-3"), (gnu.format("", "v3.0"), "gpl-3"), (gnu.format("", "version 2"), ""), (gnu.format("Lesser ", "version 3"), ""),
+        ("this work is\n" * 50, ""), ("free of charge\n" * 90, ""), (f"{isc} {isc}", "isc"), (spread, ""), (" ".join(bsd[:10] + ["x", "y"] + bsd[10:]), "bsd"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan(docs).collect()}
+    assert [(t, got[i].labels) for i, (t, _) in enumerate(want)] == want
+    assert all((x.score >= licenses.COVER) == bool(x.labels) and x.score <= 1 for x in got.values())
+
+
 def test_words_are_hashed_alike_in_any_batch():
     h = words.WordHasher(letters=False)
     one = [h.words([t.encode()])[0].tolist() for t in ("A bc", "d  é f", "", "a")]
