@@ -16,18 +16,22 @@ import numpy as np
 
 #: Code points before a candidate that context features see.
 CONTEXT = 28
+#: Contexts of drawn secrets.
+SECRET_CONTEXTS = tuple(w + e for w in ("token", "secret", "password", "passwd", "api_key", "auth", "secret_key", "credentials") for e in (' = "', ": ", "=", " = '", " = ")) + ("Authorization: Bearer ", "Authorization: ", "bearer ")
+#: Every expression takes time in proportion to the text, since candidates may be long: it begins at
+#: the start, or gives nothing back.
 #: name, what it looks at (value or context), expression
 FEATURES: tuple[tuple[str, str, str], ...] = (
     ("digit", "value", r"[0-9]"),
     ("letter", "value", r"[A-Za-z]"),
     ("hex", "value", r"^(?:[0-9a-f]+|[0-9A-F]+)$"),
-    ("mixed_case", "value", r"[a-z].*[A-Z]|[A-Z].*[a-z]"),
-    ("many_digits", "value", r"(?:[^0-9]*[0-9]){6}"),
+    ("mixed_case", "value", r"^(?=[^a-z]*+[a-z])[^A-Z]*+[A-Z]"),
+    ("many_digits", "value", r"^(?:[^0-9]*+[0-9]){6}"),
     ("ssn_form", "value", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
     ("phone_form", "value", r"^(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"),
-    ("at_dot", "value", r"(?i)\bat\b.*\bdot\b"),
+    ("at_dot", "value", r"(?i)^(?>.*?\bat\b).*\bdot\b"),
     ("brackets", "value", r"[\[(](?:at|dot)[\])]"),
-    ("secret_word", "context", r"(?i)(?:token|secret|passw|api.?key|auth|credential)[^A-Za-z]{0,6}$"),
+    ("secret_word", "context", r"(?i)(?:token|passw[a-z]*|(?:api|private|access).?key|secret(?:.?key)?|auth(?:entication|orization)?|bearer|credential)s?[^A-Za-z]{0,6}$"),
     ("phone_word", "context", r"(?i)(?:phone|tel|call|fax|mobile|cell)[a-z]{0,4}[^A-Za-z]{0,6}$"),
     ("id_word", "context", r"(?i)(?:ssn|social security|tax id|passport)[a-z ]{0,8}[^A-Za-z]{0,6}$"),
     ("mail_word", "context", r"(?i)(?:mail|contact|write|reach)[a-z ]{0,10}[^A-Za-z]{0,6}$"),
@@ -52,13 +56,13 @@ def draw(r: random.Random) -> tuple[int, str, str, int]:
     kind = r.randrange(4)
     if kind == 0:
         good = r.random() < 0.5
-        n = r.choice((32, 40, 48, 64))
+        n = r.choice((24, 32, 40, 48, 64, 129, 256, 1024))
         alphabet = r.choice(("0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         value = "".join(r.choice(alphabet) for _ in range(n))
         if good:
-            return 0, value, plain + r.choice(("token", "secret", "password", "api_key", "auth")) + r.choice((' = "', ": ", "=", " = '")), 1
+            return 0, value, plain + r.choice(SECRET_CONTEXTS), 1
         value = r.choice((value, "".join(r.choice("aeiouthns") for _ in range(n)), digits(n), "-" * n, word() * 6))
-        return 0, value, plain + r.choice(("", "commit ", "sha ", "id: ")), 0
+        return 0, value, plain + r.choice(("", "commit ", "sha ", "id: ", "author: ")), 0
     if kind == 1:
         good = r.random() < 0.5
         value = r.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"))

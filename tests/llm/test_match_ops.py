@@ -126,6 +126,19 @@ def test_trees_find_what_patterns_miss(spark):
     assert got[3][0][0] == "email" and got[4] == [] and got[5] == [] and got[6] == []
 
 
+def test_secrets_of_any_length_and_context(spark):
+    r = random.Random(6)
+    drawn = lambda n: "".join(r.choice("0123456789abcdefABCDEFghijklmnopqrstuvwxyzXYZ_-") for _ in range(n - 2)) + "a7"
+    contexts = [w + e for w in ("token", "secret", "password", "passwd", "api_key", "auth", "secret_key") for e in (' = "', ": ", "=", " = '", " = ")] + ["Authorization: Bearer ", "Authorization: "]
+    values = [drawn(n) for n in (24, 40, 126, 129, 500, 5000)] + [f"{drawn(36)}.{drawn(200)}.{drawn(43)}"]
+    rows = [(f"some words {c}", v) for c in contexts for v in values]
+    clean = [f"{c}{v}" for c in ("words ", "commit ", "author: ", "sha ") for v in values[:6]] + ["a" * 300_000, "-at" * 100_000, "+/" * 100_000]
+    texts = [c + v + " end" for c, v in rows] + clean
+    got = {x.doc_id: [(s.kind, texts[x.doc_id][s.start : s.end]) for s in x.added] for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()}
+    assert [(c, len(v)) for i, (c, v) in enumerate(rows) if got[i] != [("secret", v)]] == []
+    assert not any(got[len(rows) + i] for i in range(len(clean)))
+
+
 def test_trees_in_sql_equal_trees_in_python(spark):
     r, model = random.Random(4), pii_model.train()
     rows = [pii_model.draw(r)[:3] for _ in range(200)]
