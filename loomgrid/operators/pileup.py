@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SITE = ["chrom", "pos"]
+#: Samples that a plan may list.
+LISTED = 10_000
 
 
 def cigar_ops(cigar: Column) -> Column:
@@ -164,7 +166,16 @@ def em_freqs(pileup: DataFrame, by: list[str], rounds: int = 20) -> DataFrame:
 
 
 def densify(sites: DataFrame, samples: DataFrame, pileup: DataFrame) -> DataFrame:
-    """Depth of every sample at every site, 0 where it has no read; one row per pair is the result."""
+    """Depth of every sample at every site, 0 where it has no read; one row per pair is the result.
+
+    Repeated sample rows count once.  Up to ``LISTED`` samples are a list that goes with the plan;
+    of more, every pair is made by a distributed product.
+    """
     depth = pileup.groupBy(*SITE, "sample_id").agg(F.count("*").alias("depth"))
-    every = sites.select(*SITE).withColumn("sample_id", F.explode(F.lit([r[0] for r in samples.select("sample_id").orderBy("sample_id").limit(100_000).collect()])))
+    ids = samples.select("sample_id").distinct()
+    listed = [r[0] for r in ids.limit(LISTED + 1).collect()]
+    if len(listed) > LISTED:
+        every = sites.select(*SITE).crossJoin(ids)
+    else:
+        every = sites.select(*SITE).withColumn("sample_id", F.explode(F.lit(listed).cast(f"array<{ids.schema[0].dataType.simpleString()}>")))
     return every.join(depth, [*SITE, "sample_id"], "left").fillna(0, ["depth"])

@@ -168,3 +168,15 @@ def test_sex_calls(spark):
 def test_metrics():
     assert variants.detection(10, 8, 8) == {"tp": 8, "fp": 0, "fn": 2, "sensitivity": 0.8, "precision": 1.0, "f1": pytest.approx(8 / 9)}
     assert variants.detection(0, 0, 0)["f1"] == 0.0
+
+
+@pytest.mark.parametrize("listed", [2, 5, 10_000])
+def test_every_sample_at_every_site(spark, monkeypatch, listed):
+    monkeypatch.setattr(pileup, "LISTED", listed, raising=False)
+    sites = spark.createDataFrame([("c", 1), ("c", 2), ("d", 1)], "chrom string, pos long")
+    samples = spark.createDataFrame([("a",), ("b",), ("a",), ("c",), ("d",), ("e",)], "sample_id string")
+    reads = spark.createDataFrame([("c", 1, "e"), ("c", 1, "e"), ("d", 1, "a"), ("d", 9, "a")], "chrom string, pos long, sample_id string")
+    got = sorted(tuple(x) for x in pileup.densify(sites, samples, reads).collect())
+    depth = {("c", 1, "e"): 2, ("d", 1, "a"): 1}
+    assert got == [(c, p, s, depth.get((c, p, s), 0)) for c, p in (("c", 1), ("c", 2), ("d", 1)) for s in "abcde"]
+    assert pileup.densify(sites, samples.where("false"), reads).count() == 0
