@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,9 +213,9 @@ def legacy_ac_an(spark, d):
 
 
 @query(f"with {KEPT}, s as (select distinct chrom, pos from kept where pos <= 200), n as (select distinct sample_id from pileup), c as (select chrom, pos, sample_id, count(*) depth from kept group by all) select chrom, pos, sample_id, coalesce(depth, 0) depth from s cross join n left join c using (chrom, pos, sample_id)")
-def zero_depth_densify(spark, d):
+def zero_depth_densify(spark, d, where="pos <= 200"):
     p = reads(spark, d)
-    return pileup.densify(p.where("pos <= 200").select(*SITE).distinct(), view(spark, d, "pileup").select("sample_id").distinct(), p)
+    return pileup.densify(p.where(where).select(*SITE).distinct(), view(spark, d, "pileup").select("sample_id").distinct(), p)
 
 
 HWE = LIK + f""", hw as (select chrom, pos, sum(q0) + ({N_SAMPLES} - count(*)) / 3.0e0 n0, sum(q1) + ({N_SAMPLES} - count(*)) / 3.0e0 n1, sum(q2) + ({N_SAMPLES} - count(*)) / 3.0e0 n2 from lik group by all),
@@ -685,3 +686,15 @@ def hist2d_log(spark, d):
 @query("select concat('S', cast(s_suppkey % 50 as varchar)) sample_id, count(*) n from supplier group by all having count(*) > 1")
 def multi_sample_duplicates(spark, d):
     return variants.duplicates(spark.read.parquet(f"{d}/supplier.parquet").selectExpr("concat('S', cast(s_suppkey % 50 as string)) sample_id"))
+
+
+# ------------------------------------------------------------------ whole tables
+
+def _whole(name: str, part: str) -> None:
+    """Register ``name_all``: the query and its SQL without the filter that keeps ``name`` to a part of its rows."""
+    if SQL[name].count(f" where {part}") != 1:
+        raise ValueError(f"{name} has no single filter {part}")
+    QUERIES[f"{name}_all"], SQL[f"{name}_all"] = partial(QUERIES[name], where="true"), SQL[name].replace(f" where {part}", "")
+
+
+_whole("zero_depth_densify", "pos <= 200")

@@ -49,3 +49,12 @@ def test_partitions_dont_matter(spark, tiny, name):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1]
+
+
+def test_every_site_is_densified(spark, small):
+    got = queries()["zero_depth_densify_all"](spark, small)
+    sites = duckdb.sql(f"select count(distinct l_partkey) from '{small}/lineitem.parquet' where l_returnflag <> 'R' and round(l_tax * 100) * 7 >= 5").fetchall()[0][0]
+    samples = duckdb.sql(f"select count(distinct l_suppkey % 50) from '{small}/lineitem.parquet'").fetchall()[0][0]
+    reads = duckdb.sql(f"select count(*) from '{small}/lineitem.parquet' where l_returnflag <> 'R' and round(l_tax * 100) * 7 >= 5").fetchall()[0][0]
+    x = got.selectExpr("count(*) n", "count(distinct chrom, pos, sample_id) d", "sum(depth) depth", "max(pos) top").first()
+    assert (x.n, x.d, x.depth) == (sites * samples, sites * samples, reads) and x.top > 200
