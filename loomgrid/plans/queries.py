@@ -463,45 +463,45 @@ _MERGED = _IV + """, mk as (select *, case when "start" <= max("end") over (part
 isl as (select *, sum(f) over (partition by chrom order by "start", "end" rows unbounded preceding) i from mk), merged as (select chrom, min("start") "start", max("end") "end" from isl group by chrom, i)"""
 
 
-def _iv(spark, d):
+def _iv(spark, d, where):
     e = spark.read.parquet(f"{d}/events.parquet")
-    iv = e.where("event_id % 3 = 0").selectExpr("concat('chr', cast(user_id % 5 + 1 as string)) chrom", "1 + (event_id * 7919) % 900000 start", "1 + (event_id * 7919) % 900000 + event_id % 40 end")
+    iv = e.where(where).selectExpr("concat('chr', cast(user_id % 5 + 1 as string)) chrom", "1 + (event_id * 7919) % 900000 start", "1 + (event_id * 7919) % 900000 + event_id % 40 end")
     return iv, e.selectExpr("event_id", "concat('chr', cast(event_id % 6 + 1 as string)) chrom", "1 + (event_id * 104729) % 900000 pos")
 
 
 @query(f'with {_MERGED} select chrom, "start", "end" from merged')
-def interval_merge(spark, d):
-    return intervals.merge(_iv(spark, d)[0])
+def interval_merge(spark, d, where="event_id % 3 = 0"):
+    return intervals.merge(_iv(spark, d, where)[0])
 
 
 @query(f'with {_MERGED} select chrom, cast(sum("end" - "start" + 1) as bigint) bases from merged group by all')
-def interval_total_length(spark, d):
-    return intervals.total_length(intervals.merge(_iv(spark, d)[0]))
+def interval_total_length(spark, d, where="event_id % 3 = 0"):
+    return intervals.total_length(intervals.merge(_iv(spark, d, where)[0]))
 
 
 @query(f"""with {_MERGED}, w as (select distinct chrom, 1 + 50000 * k "start", 50000 * k + 20000 "end" from iv cross join (select unnest(range(18)) k))
 select m.chrom, cast(sum(least(m."end", w."end") - greatest(m."start", w."start") + 1) as bigint) bases from merged m join w on m.chrom = w.chrom and greatest(m."start", w."start") <= least(m."end", w."end") group by all""")
-def interval_overlap_length(spark, d):
-    iv = _iv(spark, d)[0]
+def interval_overlap_length(spark, d, where="event_id % 3 = 0"):
+    iv = _iv(spark, d, where)[0]
     w = iv.select("chrom").distinct().select("chrom", F.explode(F.sequence(F.lit(0), F.lit(17))).alias("k")).selectExpr("chrom", "1L + 50000 * k start", "50000L * k + 20000 end")
     return intervals.overlap_lengths(intervals.merge(iv), w, 1 << 14)
 
 
 @query(f'with {_MERGED} select event_id, p.chrom, pos from pt p where exists (select 1 from merged m where m.chrom = p.chrom and pos between m."start" and m."end")')
-def interval_semi(spark, d):
-    iv, pt = _iv(spark, d)
+def interval_semi(spark, d, where="event_id % 3 = 0"):
+    iv, pt = _iv(spark, d, where)
     return intervals.points_in(pt, intervals.merge(iv), "left_semi", width=1 << 14).select("event_id", "chrom", "pos")
 
 
 @query(f'with {_MERGED} select event_id, p.chrom, pos from pt p where not exists (select 1 from merged m where m.chrom = p.chrom and pos between m."start" and m."end")')
-def interval_anti(spark, d):
-    iv, pt = _iv(spark, d)
+def interval_anti(spark, d, where="event_id % 3 = 0"):
+    iv, pt = _iv(spark, d, where)
     return intervals.points_in(pt, intervals.merge(iv), "left_anti", width=1 << 14).select("event_id", "chrom", "pos")
 
 
 @query(f'with {_MERGED} select p.event_id, m."start", m."end", coalesce(p.pos <= m."end", false) inside from pt p asof left join merged m on p.chrom = m.chrom and p.pos >= m."start"')
-def asof_interval(spark, d):
-    iv, pt = _iv(spark, d)
+def asof_interval(spark, d, where="event_id % 3 = 0"):
+    iv, pt = _iv(spark, d, where)
     return intervals.last_start(pt, intervals.merge(iv)).select("event_id", "start", "end", "inside")
 
 
@@ -671,10 +671,10 @@ def trend_test_stat(spark, d):
 
 
 @query(f"with {BI}, v as (select chrom, pos, count(*) value from own where pos % 3 = 0 group by all) select b.chrom, b.pos, case when value is null then 'DP=1' else concat('DP=1;DM=', cast(value as varchar)) end info from bi b left join v using (chrom, pos)")
-def annotate_info(spark, d):
+def annotate_info(spark, d, where="pos % 3 = 0"):
     p = reads(spark, d)
     s = genotype.biallelic_sites(p)
-    v = p.join(s.select(*SITE), SITE).where("pos % 3 = 0").groupBy(*SITE).agg(F.count("*").alias("value"))
+    v = p.join(s.select(*SITE), SITE).where(where).groupBy(*SITE).agg(F.count("*").alias("value"))
     return variants.annotate(s.select(*SITE, F.lit("DP=1").alias("info")), v, "DM").select(*SITE, "info")
 
 
@@ -698,3 +698,6 @@ def _whole(name: str, part: str) -> None:
 
 
 _whole("zero_depth_densify", "pos <= 200")
+for _name in ("interval_merge", "interval_total_length", "interval_overlap_length", "interval_semi", "interval_anti", "asof_interval"):
+    _whole(_name, "event_id % 3 = 0")
+_whole("annotate_info", "pos % 3 = 0")

@@ -58,3 +58,13 @@ def test_every_site_is_densified(spark, small):
     reads = duckdb.sql(f"select count(*) from '{small}/lineitem.parquet' where l_returnflag <> 'R' and round(l_tax * 100) * 7 >= 5").fetchall()[0][0]
     x = got.selectExpr("count(*) n", "count(distinct chrom, pos, sample_id) d", "sum(depth) depth", "max(pos) top").first()
     assert (x.n, x.d, x.depth) == (sites * samples, sites * samples, reads) and x.top > 200
+
+
+def test_every_event_is_an_interval(spark, tiny):
+    events = [e for e in spark.read.parquet(f"{tiny}/events.parquet").select("event_id", "user_id").collect()]
+    covered = {}
+    for e in events:
+        start = 1 + e.event_id * 7919 % 900000
+        covered.setdefault(f"chr{e.user_id % 5 + 1}", set()).update(range(start, start + e.event_id % 40 + 1))
+    assert {x.chrom: x.bases for x in queries()["interval_total_length_all"](spark, tiny).collect()} == {c: len(s) for c, s in covered.items()}
+    assert queries()["annotate_info_all"](spark, tiny).where("info = 'DP=1'").count() == 0
