@@ -701,3 +701,20 @@ _whole("zero_depth_densify", "pos <= 200")
 for _name in ("interval_merge", "interval_total_length", "interval_overlap_length", "interval_semi", "interval_anti", "asof_interval"):
     _whole(_name, "event_id % 3 = 0")
 _whole("annotate_info", "pos % 3 = 0")
+
+
+@query(f"""with {view_sql('fragments')}, ev as (select event_id, event_id % (select max(doc_id) + 1 from fragments) doc_id, event_id % 2 = 1 is_rev from events),
+placed as (select event_id, ev.is_rev, seq, 1 + (event_id * 7919) % length(seq) pos from ev join fragments using (doc_id) where length(seq) > 0)
+select event_id, case when is_rev then reverse(translate(substr(seq, pos, {K}), 'ACGTN', 'TGCAN')) else substr(seq, pos, {K}) end motif from placed""")
+def motif_from_reference_all(spark, d):
+    """Motifs out of all documents as references, in chunks by document, each with the letters that follow."""
+    chunk = 500
+    docs = view(spark, d, "fragments").select("doc_id", "seq", F.length("seq").alias("n")).where("n > 0")
+    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))
+    chunks = docs.select("doc_id", "seq", F.explode(starts).alias("at")).select("doc_id", (F.col("at") / chunk).cast("long").alias("chunk"), F.substring(F.col("seq"), F.col("at") + 1, F.lit(chunk + K)).alias("letters"))
+    ids = view(spark, d, "fragments").agg((F.max("doc_id") + 1).alias("ids"))
+    ev = spark.read.parquet(f"{d}/events.parquet").crossJoin(ids).select("event_id", (F.col("event_id") % F.col("ids")).alias("doc_id"), (F.col("event_id") % 2 == 1).alias("is_rev"))
+    placed = ev.join(docs.select("doc_id", "n"), "doc_id").withColumn("pos0", F.col("event_id") * 7919 % F.col("n"))
+    met = placed.withColumn("chunk", F.floor(F.col("pos0") / chunk)).join(chunks, ["doc_id", "chunk"])
+    m = F.substring(F.col("letters"), (F.col("pos0") - F.col("chunk") * chunk + 1).cast("int"), F.lit(K))
+    return met.select("event_id", F.when(F.col("is_rev"), sequence.reverse_complement(m)).otherwise(m).alias("motif"))

@@ -1,6 +1,7 @@
 """Every query with SQL gives the same rows in both engines; results don't follow the partitioning."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -68,3 +69,15 @@ def test_every_event_is_an_interval(spark, tiny):
         covered.setdefault(f"chr{e.user_id % 5 + 1}", set()).update(range(start, start + e.event_id % 40 + 1))
     assert {x.chrom: x.bases for x in queries()["interval_total_length_all"](spark, tiny).collect()} == {c: len(s) for c, s in covered.items()}
     assert queries()["annotate_info_all"](spark, tiny).where("info = 'DP=1'").count() == 0
+
+
+def test_every_document_is_a_reference(spark, tiny):
+    docs = {x.doc_id: re.sub("[^ACGTN]", "", (x.text or "").upper()) for x in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    want, used = {}, set()
+    for (i,) in spark.read.parquet(f"{tiny}/events.parquet").select("event_id").collect():
+        if s := docs.get(i % (max(docs) + 1)):
+            at = i * 7919 % len(s)
+            m = s[at : at + 4]
+            want[i] = m[::-1].translate(str.maketrans("ACGTN", "TGCAN")) if i % 2 else m
+            used.add((i % (max(docs) + 1), at // 500))
+    assert {x.event_id: x.motif for x in queries()["motif_from_reference_all"](spark, tiny).collect()} == want and len(used) > 100
