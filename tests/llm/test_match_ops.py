@@ -253,13 +253,87 @@ def test_join_near_the_limit(spark, seed):
 
 
 def test_join_with_all_bounds_met(spark, monkeypatch):
-    for name, value in (("CHUNK", 8), ("PART_ROWS", 4), ("BROADCAST_IDS", 10), ("HOT", 3), ("SLICE_BYTES", 2000), ("MEET_ROWS", 640), ("FOLD", 4)):
+    for name, value in (("CHUNK", 8), ("PART_ROWS", 4), ("BROADCAST_IDS", 10), ("PACK_KEYS", 900), ("MEET_BYTES", 4000), ("SLICE_BYTES", 2000), ("MEET_ROWS", 640), ("FOLD", 4)):
         monkeypatch.setattr(jaccard, name, value)
     texts = dict(enumerate(variants(7)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link(docs).collect()} == brute(texts)
 
 
+def boilerplate(seed):
+    """Texts that share most of their words with very many others, without being alike, and copies of some."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    common = [[word() for _ in range(60)] for _ in range(2)]
+    texts = []
+    for i in range(400):
+        w = common[i % 2] + [word() for _ in range(r.choice([12, 20, 40]))]
+        texts.append(" ".join(w))
+        if i % 5 == 0:
+            w[-1 - r.randrange(10)] = word()
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_join_of_texts_that_share_most(spark):
+    texts = dict(enumerate(boilerplate(3)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = brute(texts)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link(docs).collect()} == want
+    assert len({c for _, c in want.values()}) > 300
+
+
+def test_join_of_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEET_BYTES", 1 << 16)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(4))
+    texts = {}
+    for i in range(6):
+        w = [word() for _ in range(r.choice([30_000, 60_000]))]
+        texts[3 * i] = " ".join(w)
+        for j, share in ((1, 200), (2, 20)):  # a near copy, and one that is too far off
+            v = list(w)
+            for at in range(0, len(v), share):
+                v[at] = word()
+            texts[3 * i + j] = " ".join(v)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link(docs).collect()}
+    assert got == brute(texts) and all(got[3 * i + 1][1] == 3 * i and got[3 * i + 2][1] == 3 * i + 2 for i in range(6))
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_linked_sets_share_a_key_of_their_rarest(rounds):
+    """Whatever the number of sketch rounds; those that lack blocks after the last meet by tokens."""
+    texts = [t for t in variants(11) if t]
+    sets = jaccard.Sets(words.WordHasher(letters=False), jaccard.pa.array(texts))
+    _, rows = np.unique(sets.cls, return_index=True)
+    rows = rows[sets.n[rows] > 0]
+    held, spare = defaultdict(set), {}
+    for own, level in sets.levels(rows):
+        for key, of, todo, tag, more in sets.keys(own, level, rounds=rounds):
+            for k, o in zip(key.tolist(), of.tolist()):
+                held[o].add(k)
+            spare |= {(r, t): m for r, t, m in zip(todo.tolist(), tag.tolist(), more.tolist())}
+    df = defaultdict(int)
+    for ks in held.values():
+        for k in ks:
+            df[k] += 1
+    rare = {}
+    for o, ks in held.items():
+        rare[o] = set()
+        for t in {k & 2047 for k in ks}:
+            mine = sorted((k for k in ks if k & 2047 == t), key=lambda k: (-df[k], -k))
+            rare[o] |= set(mine[max(0, spare[o, t]) :])
+    n = 0
+    for i, a in enumerate(rows.tolist()):
+        for b in rows[:i].tolist():
+            x, y = set(sets.of(a).tolist()), set(sets.of(b).tolist())
+            if 100 * len(x & y) >= 80 * len(x | y):
+                n += 1
+                assert rare[a] & rare[b], (texts[a], texts[b])
+    assert n > 100
+
+
 def test_join_of_odd_rows(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "x"), (7, "A B C D E F"), (9, None)], "doc_id long, text string")
     got = sorted(((x.doc_id or 0), x.n_shingles, x.component_id) for x in jaccard.link(docs).where("n_shingles <> 1").collect())
