@@ -7,28 +7,33 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._common import pick, shuffle_partitions, stage, sub_batches
+from loomgrid.llm._common import pick, scratch, shuffle_partitions, small_batches, stage, sub_batches
 from loomgrid.llm.components import components, relabel
 from loomgrid.llm.words import U, WordHasher, mix, shingles
 
 #: Words of a shingle; two sets link when PERCENT * union <= 100 * intersection.
 WORDS, PERCENT = 5, 80
 SLICE_BYTES = 512 << 10
-#: A key that so many sets of one slice have is folded there; one that more than HOT sets of the
-#: corpus have is used only by sets that need it (see ``link``).
-FOLD, HOT = 16, 16
+#: Keys that a task packs together, and bytes of packed keys that meet in one task.
+PACK_KEYS, MEET_BYTES = 512 << 10, 16 << 20
+#: A key that so many sets of one pack have is folded there.
+FOLD = 16
 #: Sets of a group that are compared with each other, or with as many others, in one step; words of
 #: the short sketches that are compared first.
 CHUNK, SHORT_WORDS = 256, 16
 #: About so many keys are sorted at once where they meet.
 MEET_ROWS = 64 << 10
+#: Partners of one set that are streamed past it in one task.
+PART_ROWS = 32
 #: Ids of sets that may be broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
+#: Rounds of sketches, each with more blocks; sets that still lack blocks then meet by their tokens.
 _SEEDS, _TAG_BITS = 16, 11
+ROUNDS = _SEEDS - 1
 
 
 @cache
@@ -50,6 +55,14 @@ def most_apart(level: int, percent: int = PERCENT) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
+def own_apart(n: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The largest symmetric difference of sets of given sizes to any that they link to at a level:
+    in the level's own band, one that is larger by the limit; from the next band, one of the level's."""
+    edge = np.array(bands(percent), np.int64)
+    other = np.where(n < edge[level + 1], n * 100 // percent, edge[level + 1] - 1)
+    return (n + other) * (100 - percent) // (100 + percent)
+
+
 def n_blocks(level: int, seed: int, percent: int = PERCENT) -> int:
     """Blocks of a level's sketch: one more than differences, and some to spare, more with each seed."""
     d = most_apart(level, percent)
@@ -87,45 +100,51 @@ class Sets:
         at = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return self.g[at], np.repeat(np.arange(len(rows)), n)
 
-    def keys(self, rows: np.ndarray, level_of: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Keys of the non-empty blocks at each row's level, the row of each; then the tag of each
-        row (its level and seed) and how many of its blocks aren't empty; one round per seed.
+    def keys(self, rows: np.ndarray, level_of: np.ndarray, percent: int = PERCENT, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys of the non-empty blocks at each row's level, the row of each; then the rows of this
+        round, the tag of each (its level and round), and how many more blocks it has than it needs.
 
         Every token toggles a bit of its block, in a sketch so wide that a block's bits are told by
         the XOR of its tokens' hashes.  Sets that differ in d tokens differ in d blocks at most.  A
-        row with over ``most_apart`` non-empty blocks shares one of them with each set it links to;
-        a row with fewer goes on to the next seed, and there meets others that had to.
+        row with more non-empty blocks than tokens it may differ in (``own_apart``) shares one of
+        them with each set it links to; a row with fewer goes on to the next round, and there meets
+        others that had to.  What is left after all rounds meets by its tokens, one of which any two
+        linked sets share.
         """
-        for seed in range(_SEEDS):
+        for seed in range(rounds + 1):
             if not len(rows):
                 return
-            k = np.array([n_blocks(int(x), seed, percent) for x in range(level_of.max() + 1)], np.int64)[level_of]
-            need = np.array([most_apart(int(x), percent) + 1 for x in range(level_of.max() + 1)], np.int64)[level_of]
+            need = own_apart(self.n[rows], level_of, percent) + 1
             g, at = self.take(rows)
-            first = np.cumsum(k) - k
+            tag = level_of * _SEEDS + (seed if seed < rounds else _SEEDS - 1)
             with np.errstate(over="ignore"):
-                block = ((mix(g + U(0xA0761D6478BD642F) * U(2 * seed + 1)) >> U(32)) * k[at].astype(U)) >> U(32)
-                where = first[at] + block.astype(np.int64)
-                xor = np.zeros(int(k.sum()), U)
-                np.bitwise_xor.at(xor, where, mix(g ^ U(0xE7037ED1A0B428DB)))
-                filled = np.zeros(len(xor), bool)
-                filled[where] = True
-                tag = (level_of * _SEEDS + seed).astype(np.int64)
-                owner = np.repeat(np.arange(len(rows)), k)
-                number = np.arange(len(xor)) - first[owner]
-                key = mix(xor ^ mix(number.astype(U) * U(0x9FB21C651E98DF25) + tag[owner].astype(U)))
+                if seed < rounds:
+                    k = np.array([n_blocks(int(x), seed, percent) for x in range(level_of.max() + 1)], np.int64)[level_of]
+                    first = np.cumsum(k) - k
+                    block = ((mix(g + U(0xA0761D6478BD642F) * U(2 * seed + 1)) >> U(32)) * k[at].astype(U)) >> U(32)
+                    where = first[at] + block.astype(np.int64)
+                    xor = np.zeros(int(k.sum()), U)
+                    np.bitwise_xor.at(xor, where, mix(g ^ U(0xE7037ED1A0B428DB)))
+                    filled = np.zeros(len(xor), bool)
+                    filled[where] = True
+                    full = np.add.reduceat(filled.astype(np.int64), first)
+                    there = np.flatnonzero(filled)
+                    owner = np.repeat(np.arange(len(rows)), full)
+                    key = mix(xor[there] ^ mix((there - first[owner]).astype(U) * U(0x9FB21C651E98DF25) + tag[owner].astype(U)))
+                else:
+                    owner, full = at, self.n[rows]
+                    key = mix(mix(g ^ U(0xE7037ED1A0B428DB)) + tag[owner].astype(U))
                 key = (key >> U(_TAG_BITS) << U(_TAG_BITS)) | tag[owner].astype(U)
-            full = np.add.reduceat(filled.astype(np.int64), first)
-            yield key[filled], rows[owner[filled]], tag, full
+            yield key, rows[owner], rows, tag, full - need
             more = full < need
             rows, level_of = rows[more], level_of[more]
 
     def levels(self, rows: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The levels of each row: that of its band, as the smaller set, and the one before."""
         band = np.searchsorted(np.array(bands(percent)), self.n[rows], "right") - 1
-        flat = np.array([most_apart(x, percent) == 0 for x in range(125)])
         for level in (band, band - 1):
-            fine = (level >= 0) & ~flat[level]
+            fine = level >= 0
+            fine[fine] = own_apart(self.n[rows[fine]], level[fine], percent) > 0  # else it links to its equals only
             yield rows[fine], level[fine]
 
 
@@ -198,23 +217,22 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
     """Sets that share a key, out of ``text``: rows of kind 0 (leader x, set y, w keys) and, for
     groups of three and more, of kind 1 (key x, set y).
 
-    Keys travel packed, by range of key.  A key that many sets of one slice have is folded before
-    the shuffle: the slice's leader alone goes on, and the others are dealt evenly as they are.
+    Keys travel packed, by range of key; ``buckets`` follows their bytes, so that a task holds
+    about ``MEET_BYTES`` of them.  A key that many sets of one pack have is folded before the
+    shuffle: the pack's leader alone goes on, and the others are dealt evenly as they are.
     """
     blob = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType())] + [T.StructField(n, T.BinaryType()) for n in ("keys", "at", "names")])
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, turn = WordHasher(letters=False), 0
-        for b in sub_batches(iter(batches), "text", SLICE_BYTES):
-            sets = Sets(hasher, b.column("text"))
-            _, rows = np.unique(sets.cls, return_index=True)
-            rows = rows[sets.n[rows] > 0]
-            keys, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for own, level in sets.levels(rows, percent):
-                for key, of, _, _ in sets.keys(own, level, percent):
-                    keys.append(key)
-                    owner.append(of)
-            k, c, each, lead, _ = _leaders(np.concatenate(keys), sets.cls[np.concatenate(owner)])
+        keys: list[np.ndarray] = []
+        names: list[np.ndarray] = []
+
+        def pack() -> pa.RecordBatch:
+            nonlocal turn
+            k, c, each, lead, _ = _leaders(np.concatenate(keys), np.concatenate(names))
+            keys.clear()
+            names.clear()
             folded = (each >= FOLD) & (c != lead)
             out: list[tuple[int, int, bytes, bytes, bytes]] = []
             if folded.any():
@@ -224,14 +242,25 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
             for kind, own in ((0, single), (2, ~single & ~folded)):  # 2: stands for folded ones
                 mine, sets_of = k[own], c[own]
                 bucket = ((mine >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                for i in range(buckets):
-                    lo, hi = edge[i], edge[i + 1]
-                    if hi > lo:
-                        names, at = np.unique(sets_of[lo:hi], return_inverse=True)
-                        out.append((i, kind, mine[lo:hi].tobytes(), at.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes(), names.tobytes()))
+                start = np.flatnonzero(np.concatenate([[len(bucket) > 0], bucket[1:] != bucket[:-1]]))
+                for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(bucket)]):
+                    of, at = np.unique(sets_of[lo:hi], return_inverse=True)
+                    out.append((int(bucket[lo]), kind, mine[lo:hi].tobytes(), at.astype(np.uint16 if len(of) < 65536 else np.uint32).tobytes(), of.tobytes()))
             cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:])], blob.names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:])], blob.names)
+
+        for b in sub_batches(iter(batches), "text", SLICE_BYTES):
+            sets = Sets(hasher, b.column("text"))
+            _, rows = np.unique(sets.cls, return_index=True)
+            rows = rows[sets.n[rows] > 0]
+            for own, level in sets.levels(rows, percent):
+                for key, of, *_ in sets.keys(own, level, percent):
+                    keys.append(key)
+                    names.append(sets.cls[of])
+            if sum(map(len, keys)) >= PACK_KEYS:
+                yield pack()
+        if keys:
+            yield pack()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -269,11 +298,11 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
 def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
     """Sets of the involved classes, from the texts of their representatives: the leader ``a`` that
     each meets first and the parts that it and they are dealt into, as ``involved`` has them, then
-    ``n, g, sketch, short, tags, full`` (hashes sorted; the number of non-empty blocks for each tag)."""
+    ``n, g, sketch, short, tags, spare`` (hashes sorted; for each tag how many blocks it has to spare)."""
     small = involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = rows.join(F.broadcast(involved) if small else involved, rows["id"] == involved["rep"]).select("cls", "a", "parts", "heads", "text")
     long = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("a", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("heads", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("g", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("tags", long), T.StructField("full", long)])
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("a", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("heads", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("g", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("tags", long), T.StructField("spare", long)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(letters=False)
@@ -281,27 +310,21 @@ def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
             sets = Sets(hasher, b.column("text"))
             own = np.flatnonzero((sets.cls == b.column("cls").to_numpy().view(U)) & (sets.n > 0))
             tags: list[list[int]] = [[] for _ in range(len(sets.n))]
-            full: list[list[int]] = [[] for _ in range(len(sets.n))]
+            spare: list[list[int]] = [[] for _ in range(len(sets.n))]
             for mine, level in sets.levels(own):
-                todo = mine
-                for _, _, tag, some in sets.keys(mine, level):
-                    for r, t, f in zip(todo.tolist(), tag.tolist(), some.tolist()):
+                for _, _, todo, tag, more in sets.keys(mine, level):
+                    for r, t, m in zip(todo.tolist(), tag.tolist(), more.tolist()):
                         tags[r].append(t)
-                        full[r].append(f)
-                    todo = todo[some < np.array([most_apart(t // _SEEDS) + 1 for t in tag.tolist()])]
+                        spare[r].append(m)
             g = [sets.of(i) for i in own]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(pa.array(own)) for c in ("cls", "a", "parts", "heads")), pa.array(sets.n[own]), pa.array([x.tobytes() for x in g], pa.binary()), pa.array([sketch(x) for x in g], pa.binary()), pa.array([short_sketch(x) for x in g], pa.binary()), pa.array([tags[i] for i in own], pa.list_(pa.int64())), pa.array([full[i] for i in own], pa.list_(pa.int64()))],
+                [*(b.column(c).take(pa.array(own)) for c in ("cls", "a", "parts", "heads")), pa.array(sets.n[own]), pa.array([x.tobytes() for x in g], pa.binary()), pa.array([sketch(x) for x in g], pa.binary()), pa.array([short_sketch(x) for x in g], pa.binary()), pa.array([tags[i] for i in own], pa.list_(pa.int64())), pa.array([spare[i] for i in own], pa.list_(pa.int64()))],
                 schema.names,
             )
 
     return chosen.mapInArrow(run, schema)
 
 
-#: Partners of one set that are streamed past it in one task.
-PART_ROWS = 256
-
-
 def parts_of(pairs: DataFrame) -> DataFrame:
     """Into how many parts the partners of each ``a`` are dealt."""
     return pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
@@ -376,25 +399,21 @@ def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
 def _open_rows(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows ``key, cls, comp, df`` of groups that still hold several components; ``df`` is their size.
 
-    A key that more than ``HOT`` sets have stays only for sets that need it: one whose other,
-    non-empty blocks at that level and seed still number more than ``most_apart`` meets each of its
-    links on one of those (the argument of ``Sets.keys``, with hot blocks counted as empty), so it
-    leaves the hot groups; two sets that both can't leave still meet there.
+    A set stays only in the groups of its rarest blocks, as many as it needs.  In one order of all
+    blocks of a tag, by (df, key), two linked sets that differ in d blocks share one of the first
+    d + 1 of each (they share all but d), so those are enough, and what many sets have is used only
+    by sets that have little else.  Blocks of one or two sets are in no group and come first.
     """
     known = relabel(members.select("key", "cls", F.col("cls").alias("comp")), comps, "comp")
     stats = known.groupBy("key").agg(F.count("*").alias("df"), (F.min("comp") < F.max("comp")).alias("several"))
     known = stage(known.join(stats, "key"), "groups")
     several = known.where("several")
-    hot = known.where(F.col("df") > HOT)
-    if hot.where("several").isEmpty():
-        return several.select("key", "cls", "comp", "df")
     tag = F.col("key").bitwiseAND(F.lit(2**_TAG_BITS - 1))
-    used = hot.groupBy("cls", tag.alias("tag")).agg(F.count("*").alias("hot"))
-    need = F.create_map(*[x for level in range(125) for x in (F.lit(level), F.lit(most_apart(level) + 1))])
-    full = sets.select("cls", F.explode(F.arrays_zip("tags", "full")).alias("t")).select("cls", F.col("t.tags").alias("tag"), F.col("t.full").alias("full")).dropDuplicates(["cls", "tag"])
-    free = used.join(full, ["cls", "tag"]).where(F.col("full") - F.col("hot") >= need[(F.col("tag") / _SEEDS).cast("int")]).select("cls", "tag")
-    kept = several.where(F.col("df") > HOT).withColumn("tag", tag).join(free, ["cls", "tag"], "left_anti")
-    return several.where(F.col("df") <= HOT).select("key", "cls", "comp", "df").unionByName(kept.select("key", "cls", "comp", "df"))
+    mine = known.join(several.select("cls").distinct(), "cls", "left_semi").withColumn("tag", tag)
+    spare = sets.select("cls", F.explode(F.arrays_zip("tags", "spare")).alias("t")).select("cls", F.col("t.tags").alias("tag"), F.col("t.spare").alias("spare")).dropDuplicates(["cls", "tag"])
+    # a set may stand twice with a key that was folded; equal rows share a rank
+    rank = F.dense_rank().over(Window.partitionBy("cls", "tag").orderBy(F.desc("df"), F.desc("key")))
+    return mine.join(spare, ["cls", "tag"]).withColumn("rank", rank).where("rank > spare and several").select("key", "cls", "comp", "df")
 
 
 def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -439,12 +458,15 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
 
 def _more(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """Components after further edges between them."""
-    fresh = components(relabel(relabel(edges, comps, "a"), comps, "b"))
-    known = relabel(comps, fresh, "comp")
-    return stage(known.unionByName(fresh.join(comps.select("node"), "node", "left_anti")), "components")
+    with scratch() as kept:
+        fresh = components(relabel(relabel(edges, comps, "a"), comps, "b"))
+        known = relabel(comps, fresh, "comp")
+        out = stage(known.unionByName(fresh.join(comps.select("node"), "node", "left_anti")), "components")
+        kept.append(out)
+    return out
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """Link documents whose sets of word shingles are alike: ``doc_id, n_shingles, component_id``.
 
     Words are runs of anything but ASCII blanks, A-Z as a-z; a set holds the distinct runs of five
@@ -459,21 +481,40 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     A null or blank text has an empty set and is linked with nothing; a row with a null id links
     nothing and reports the component of its equals, else null; repeated rows form one class; an
-    empty table gives an empty result; other columns are left behind.
+    empty table gives an empty result.  Columns named in ``keep`` are carried along, except those
+    whose names the result has itself; others are left behind.
     """
     spark = docs.sparkSession
-    rows = pick(docs, id=id_col, text=text_col)
-    schema = T.StructType([rows.schema["id"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType())])
+    small_batches(spark)
+    keep = [c for c in keep if c not in (id_col, "n_shingles", "component_id")]
+    rows = pick(docs, id=id_col, text=text_col, **{f"keep_{i}": c for i, c in enumerate(keep)})
+    kept = [f"keep_{i}" for i in range(len(keep))]
+    schema = T.StructType([rows.schema["id"], *(rows.schema[c] for c in kept), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType())])
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(letters=False)
         for b in sub_batches(iter(batches), "text", SLICE_BYTES):
             sets = Sets(hasher, b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets.n), pa.array(sets.cls.view(np.int64))], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in kept), pa.array(sets.n), pa.array(sets.cls.view(np.int64))], schema.names)
 
-    listed = stage(rows.mapInArrow(measure, schema), "sets")
+    with scratch() as stay:
+        listed = stage(rows.mapInArrow(measure, schema), "sets")
+        named = stage(_classes(rows, listed), "named")
+        stay += [listed, named]
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    answer = named.join(least, "comp").select("cls", "least")
+    own = [F.col("id").alias(id_col), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("n").alias("n_shingles")]
+    full = listed.where("n > 0").join(answer, "cls", "left").select(*own, F.col("least").alias("component_id"))
+    return full.unionByName(listed.where("n = 0").select(*own, F.col("id").alias("component_id")))
+
+
+def _classes(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """``cls, rep, comp``: the classes of equal sets, the smallest id of each, and their components."""
+    spark = rows.sparkSession
     classes = listed.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"))
-    found = stage(candidates(rows.where("id is not null").select("text"), shuffle_partitions(spark)), "candidates")
+    tokens = listed.agg(F.sum("n")).first()[0] or 0  # a key of 8 bytes and its set's number for most of them
+    buckets = max(shuffle_partitions(spark), -(-tokens * 9 // MEET_BYTES))
+    found = stage(candidates(rows.where("id is not null").select("text"), buckets), "candidates")
     star = stage(found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "star")
     best = stage(star.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")), "best")
     parts = stage(parts_of(best), "parts")
@@ -490,10 +531,4 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     members = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("cls"))
     last = near_sketches(cross_pairs(_open_rows(members, comps, sets), sets), sets)
     comps = _more(comps, stage(verify(last, sets), "links"))
-
-    named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    named = stage(named, "named")
-    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
-    answer = named.join(least, "comp").select("cls", "least")
-    full = listed.where("n > 0").join(answer, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return full.unionByName(listed.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    return classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
