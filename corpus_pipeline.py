@@ -1,4 +1,9 @@
-"""From documents to packed sequences: language ID, near duplicates, personal data, packing."""
+"""From documents to packed sequences: language ID, near duplicates, personal data, packing.
+
+Each stage takes ``documents`` with any further columns, of whatever names; all but the last return
+the same columns in the same order, and change none but those that they say.  An empty table gives
+an empty result at every stage.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +12,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import jaccard, langid, packing, pii
-from loomgrid.llm._common import stage, table
+from loomgrid.llm._common import named_again, numbered, stage, table
+
+#: Ids that rows without one take while duplicates are looked for; real ids are smaller.
+NO_ID = 2**62
+#: Rows that go, by id and text hash; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: What a sequence holds: tokens, documents, and attention cost (the sum of squared piece lengths).
+CAPACITIES = packing.Capacities(tokens=2048, documents=64)
+WEIGHTS = (1.0, 0.05, 0.05)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is told; those with no letter, or with equal frames for
-    the best two languages, go.  A missing label becomes the predicted language."""
+    """Keep the documents whose language is told.
+
+    Texts that are null or have no letter go, and those whose best two languages are nearer than
+    the margin fitted on labelled rows.  A null ``lang`` becomes the predicted language; a label
+    that is there stays.  Rows with a null id are judged like others; repeated rows stay as often
+    as they stand there.
+    """
+    own = numbered(docs)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
-    found = langid.identify(docs, model, keep=[c for c in docs.columns if c != "doc_id"]).where("accepted")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(own, model, id_col=at["doc_id"], text_col=at["text"], keep=own.columns).where("accepted")
+    return named_again(found.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group that links lead through."""
-    linked = jaccard.link(docs)
-    kept = linked.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keep one document of each group that links lead through: that of the smallest id, and of
+    rows with that id in that group the one whose text hashes lowest.
+
+    A row with a null id takes part after all others (by an id made of its text).  Documents
+    without words are in no group and stay.  Of rows that repeat an id and its text one stays,
+    whichever; rows that share an id with different texts are different documents.
+    """
+    own = numbered(docs)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = own.withColumn("h", F.xxhash64(at["text"]))
+    own = own.withColumn("id", F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID) + F.pmod("h", F.lit(2**61))))
+    linked = stage(jaccard.link(own, id_col="id", text_col=at["text"], keep=["h"]), "linked")
+    first = linked.where("n_shingles > 0 and id = component_id").groupBy("component_id").agg(F.min("h").alias("first"))
+    rows = linked.groupBy("id", "h", "component_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("n"))
+    judged = stage(rows.join(first, "component_id", "left").select("id", "h", "times", ((F.col("n") == 0) | (F.col("id") == F.col("component_id")) & (F.col("h") == F.col("first"))).alias("stays")), "judged")
+    key = ["id", "h"]
+    kept = own.join(_few(judged.where("not stays").select(*key)), key, "left_anti")
+    again = judged.where("stays and times > 1").select(*key)
+    if not again.isEmpty():
+        again = _few(again)
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return named_again(kept, docs)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast where the rows are counted to be few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace each span of personal data by its kind; no document goes."""
+    """Replace each span of personal data by its kind; ``text`` and, where it changes, ``n_chars``
+    change and no document goes.  Null texts and ids stay null; repeated rows are changed each."""
     return pii.redact(docs, length_col="n_chars").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), packing.Capacities(tokens=2048))
+    """Pack what is left into sequences of 2048 tokens and 64 documents; each row is a piece with its
+    token ids.  A null text is the end token alone, a null id stays null, rows are packed each."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITIES, weights=WEIGHTS, keep_ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packed)]
