@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     m = sub.add_parser("motif", help="end motifs per sample")
     m.add_argument("-I", "--input", required=True)
     m.add_argument("-o", "--output", required=True)
+    m.add_argument("-r", "--regions", default="")
     m.add_argument("-l", "--length", type=int, default=4, choices=range(1, 11))
     m.add_argument("-q", "--min-mapq", type=int, default=30)
     m.add_argument("--reads", default="R1", choices=("R1", "R2", "both"))
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("-I", "--input", required=True)
     f.add_argument("-o", "--output", required=True)
     f.add_argument("-B", "--bed")
+    f.add_argument("-r", "--regions", default="")
     f.add_argument("-q", "--min-mapq", type=int, default=30)
     f.add_argument("--build", default="hg38", choices=("hg38", "hg19"))
     f.add_argument("--proper-pair", action="store_true")
@@ -83,6 +85,19 @@ def _alignments(spark, a):
     return spark.read.format("alignments").option("samplefromname", str(a.filename_has_samplename).lower()).load(a.input)
 
 
+def _in_regions(rows, regions: str):
+    """Rows whose ``pos`` lies in any of the comma-separated regions; all rows without one."""
+    from loomgrid.functions import sequence
+
+    found = [x for x in (sequence.parse_region(r) for r in regions.split(",")) if x]
+    if not found:
+        return rows
+    inside = F.lit(False)
+    for chrom, start, end in found:
+        inside = inside | ((F.col("chrom") == chrom) & (F.col("pos") >= start) & ((F.col("pos") <= end) if end >= 0 else F.lit(True)))
+    return rows.where(inside)
+
+
 def run(argv: list[str]) -> None:
     from loomgrid.functions import flags, sequence
     from loomgrid.operators import caller, fetal, fragments, intervals, pileup, variants
@@ -105,23 +120,24 @@ def run(argv: list[str]) -> None:
             rows = pileup.relocate_indels(rows).drop("is_indel")
         else:
             rows = pileup.kept_reads(spark.read.parquet(a.input), a.min_mapq, a.min_baseq)
-        for region in filter(None, (sequence.parse_region(x) for x in a.regions.split(","))):
-            chrom, start, end = region
-            rows = rows.where((F.col("chrom") == chrom) & (F.col("pos") >= start) & ((F.col("pos") <= end) if end >= 0 else F.lit(True)))
+        rows = _in_regions(rows, a.regions)
         n = rows.select("sample_id").distinct().count()
-        sites = caller.call_sites(rows, pileup.min_af_for(max(1, n), a.min_af), a.max_alleles)
+        least = pileup.min_af_for(max(1, n), a.min_af)
+        sites = caller.call_sites(rows, least, a.max_alleles)
         sites.write.mode("overwrite").parquet(a.output)
         if a.pop_group:
-            caller.group_af(rows, spark.read.parquet(a.output), text.read_groups(spark, a.pop_group), a.min_af, a.max_alleles).write.mode("overwrite").parquet(a.output + ".groups")
+            caller.group_af(rows, spark.read.parquet(a.output), text.read_groups(spark, a.pop_group), least, a.max_alleles).write.mode("overwrite").parquet(a.output + ".groups")
     elif a.command == "motif":
-        reads = fragments.once(_alignments(spark, a)).where(flags.motif_reads(flag, mapq, isize, a.reads, min_mapq=a.min_mapq, proper_pair=a.proper_pair, max_insert=a.max_insert_size))
+        reads = _alignments(spark, a).withColumn("pos", F.col("pos0") + 1).where(flags.motif_reads(flag, mapq, isize, a.reads, min_mapq=a.min_mapq, proper_pair=a.proper_pair, max_insert=a.max_insert_size))
+        if a.regions:  # overlapping regions could give a read twice
+            reads = fragments.once(_in_regions(reads, a.regions))
         motifs = reads.select("sample_id", sequence.end_motif(F.col("seq"), flags.bit(flag, "reverse"), a.length).alias("motif"))
         counts = fragments.frequencies(fragments.motif_counts(motifs, a.length, a.include_zero))
         counts.orderBy("sample_id", "motif").write.mode("overwrite").csv(a.output, sep="\t", header=True)
         if a.fprofile and a.length == 4:
             fragments.decompose(counts, *text_profiles(spark, a.fprofile)).select("sample_id", F.array_join(F.transform("weights", lambda w: F.format_number(w, 6)), "\t").alias("weights")).write.mode("overwrite").csv(a.output + ".fprofile", sep="\t")
     elif a.command == "fetalfrac":
-        reads = _alignments(spark, a).withColumn("pos", F.col("pos0") + 1)
+        reads = _in_regions(_alignments(spark, a).withColumn("pos", F.col("pos0") + 1), a.regions)
         bed = text.read_bed(spark, a.bed) if a.bed else None
         counts = fetal.counters(reads, flags.counted_reads(flag, mapq, isize, min_mapq=a.min_mapq, proper_pair=a.proper_pair, max_insert=a.max_insert_size), a.build, bed)
         scale = fetal.scale_of(a.build, bed) if a.scale == "auto" else float(a.scale)

@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Terms of the tail series in SQL; enough to 1e-8 for statistics under 20.
-TERMS = 120
+#: Terms of the tail series in SQL, enough to 1e-8 for statistics up to ``FAR``.
+TERMS, FAR = 120, 60.0
 
 
 def error_of(quality: Column) -> Column:
@@ -67,7 +67,8 @@ def normal_tail_udf(x: pd.Series) -> pd.Series:
 
 
 def chi2_tail_series(x: Column) -> Column:
-    """The tail for one degree of freedom as a plain expression; for statistics under about 20."""
+    """The tail for one degree of freedom as a plain expression: a series, and above ``FAR`` the
+    leading terms of its asymptotic form."""
     t0 = F.sqrt(x / 2.0)
 
     def step(acc: Column, n: Column) -> Column:
@@ -76,7 +77,9 @@ def chi2_tail_series(x: Column) -> Column:
 
     start = F.struct(t0.alias("t"), t0.alias("s"))
     total = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc.s)
-    return F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x / 2.0) * total)
+    near = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x / 2.0) * total)
+    far = F.sqrt(F.lit(2.0 / math.pi) / x) * F.exp(-x / 2.0) * (1.0 - 1.0 / x + 3.0 / (x * x))
+    return F.when(x > FAR, far).otherwise(near)
 
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])

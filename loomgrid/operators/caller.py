@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.phred import chi2_tail
@@ -155,6 +155,17 @@ def call_sites(pileup: DataFrame, min_af: float = 0.001, max_alleles: int = 6) -
     return packed.mapInArrow(run, SCHEMA)
 
 
+def moved(ref: Column, long: Column, base: Column) -> Column:
+    """``_moved`` of a read's base: as an allele beside the reference ``long``."""
+    beyond = lambda n: F.substring(long, n + 1, F.length(long))
+    first = F.left(ref, F.lit(1))
+    return (
+        F.when(base.startswith("-"), F.concat(first, beyond(F.length(base))))
+        .when(base.startswith("+"), F.concat(first, F.substring(base, F.lit(2), F.length(base)), beyond(F.lit(1))))
+        .otherwise(F.concat(base, beyond(F.length(base))))
+    )
+
+
 def _moved(ref: str, long: str, allele: str) -> str:
     if allele[0] == "-":
         return ref[:1] + long[len(allele) :]
@@ -165,8 +176,12 @@ def _moved(ref: str, long: str, allele: str) -> str:
 
 def group_af(pileup: DataFrame, sites: DataFrame, groups: DataFrame, min_af: float = 0.001, max_alleles: int = 6) -> DataFrame:
     """The model again for each population at each called site, among the site's alleles:
-    ``chrom, pos, group, dp, af`` with one frequency per alternative, 0 where it isn't active."""
-    own = pileup.join(groups, "sample_id").join(sites.select("chrom", "pos", "ref", "alts"), ["chrom", "pos"])
+    ``chrom, pos, group, dp, af`` with one frequency per alternative, 0 where it isn't active.
+
+    Reads are first written as the site's alleles are, so that indels and letters beside them meet
+    the alternatives."""
+    own = pileup.where(~F.upper("read_base").startswith("N")).join(groups, "sample_id").join(sites.select("chrom", "pos", "ref", "alts"), ["chrom", "pos"])
+    own = own.withColumn("read_base", moved(F.col("ref_base"), F.col("ref"), F.col("read_base")))
     packed = packed_reads(own, ["chrom", "pos", "group", "ref", "alts"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +190,7 @@ def group_af(pileup: DataFrame, sites: DataFrame, groups: DataFrame, min_af: flo
             for row in b.to_pylist():
                 reads = row["reads"]
                 site = Site([r["read_base"] for r in reads], np.array([r["bq"] for r in reads]), np.array([r["n"] for r in reads]))
-                got = site.step_down(min_af, max_alleles, sorted({row["ref"][:1], *(a for a in row["alts"])}, key=lambda x: (len(x), x)))
+                got = site.step_down(min_af, max_alleles, sorted({row["ref"], *row["alts"]}, key=lambda x: (len(x), x)))
                 af = got["af"] if got else {}
                 out.append((row["chrom"], row["pos"], row["group"], int(site.total), [float(af.get(a, 0.0)) for a in row["alts"]]))
             cols = list(zip(*out)) or [()] * 5

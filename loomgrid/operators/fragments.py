@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.functions.sequence import all_motifs, pure_acgt
+from loomgrid.functions.sequence import pure_acgt
+
+
+#: Motifs of ten letters, the longest that are counted.
+MOST_PROFILE_ROWS = 4**10
 
 
 def motif_counts(motifs: DataFrame, k: int, zeros: bool = True) -> DataFrame:
@@ -20,14 +24,11 @@ def motif_counts(motifs: DataFrame, k: int, zeros: bool = True) -> DataFrame:
     got = motifs.where(pure_acgt(F.col("motif")) & (F.length("motif") == k)).groupBy("sample_id", "motif").agg(F.count("*").alias("n"))
     if not zeros:
         return got.withColumnRenamed("n", "count")
-    by = got.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("motif", "n"))).alias("m"))
-    every = motifs.select("sample_id").distinct().join(by, "sample_id", "left")
-    listed = [r.motif for r in all_motifs(motifs.sparkSession, k).orderBy("motif").collect()] if k <= 6 else None
-    if listed is not None:
-        dense = every.withColumn("motif", F.explode(F.lit(listed)))
-    else:
-        dense = every.join(F.broadcast(all_motifs(motifs.sparkSession, k)))
-    return dense.select("sample_id", "motif", F.coalesce(F.try_element_at("m", "motif"), F.lit(0)).cast("long").alias("count"))
+    # a motif's number in base 4 gives its letters, so a sample's zeros come out of a sequence
+    letters = [F.substring(F.lit("ACGT"), (F.shiftright(F.col("i"), 2 * (k - 1 - j)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for j in range(k)]
+    every = motifs.select("sample_id").distinct().select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(4**k - 1))).alias("i")).select("sample_id", F.concat(*letters).alias("motif"))
+    both = every.select("sample_id", "motif", F.lit(0).cast("long").alias("n")).unionByName(got)
+    return both.groupBy("sample_id", "motif").agg(F.sum("n").alias("count"))
 
 
 def frequencies(counts: DataFrame) -> DataFrame:
@@ -114,5 +115,8 @@ def even_profiles(k: int = 4, n: int = 6) -> np.ndarray:
 
 def read_profiles(spark, path: str) -> tuple[np.ndarray, list[str]]:
     """Measured profiles from a tab-separated file: motif, then one column per profile."""
-    rows = sorted(spark.read.csv(path, sep="\t", comment="#").limit(1 << 16).collect(), key=lambda r: r[0])
+    table = spark.read.csv(path, sep="\t", comment="#")
+    rows = sorted(table.limit(MOST_PROFILE_ROWS + 1).collect(), key=lambda r: r[0])
+    if len(rows) > MOST_PROFILE_ROWS:
+        raise ValueError(f"{path} has more motifs than 4^10")
     return np.array([[float(x) for x in r[1:]] for r in rows]), [r[0] for r in rows]

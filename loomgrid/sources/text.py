@@ -32,9 +32,13 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fai(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
     """``chrom, length`` of a sequence index; a malformed line is an error."""
+    return parse_fai(spark.read.text(path), only)
+
+
+def parse_fai(lines: DataFrame, only: list[str] | None = None) -> DataFrame:
     part = F.split("value", "\t", -1)
     n = F.get(part, F.lit(1)).try_cast("long")
-    rows = spark.read.text(path).where("value <> ''").select(F.get(part, F.lit(0)).alias("chrom"), F.when(n > 0, n).otherwise(F.raise_error(F.concat(F.lit("malformed index line: "), F.col("value"))).cast("long")).alias("length"))
+    rows = lines.where("value <> ''").select(F.get(part, F.lit(0)).alias("chrom"), F.when(n > 0, n).otherwise(F.raise_error(F.concat(F.lit("malformed index line: "), F.col("value"))).cast("long")).alias("length"))
     return rows.where(F.col("chrom").isin(only)) if only else rows
 
 

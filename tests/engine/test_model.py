@@ -29,7 +29,7 @@ def test_tails():
 
 
 def test_tail_series(spark):
-    for x in (0.0, 0.3, 2.0, 11.0):
+    for x in (0.0, 0.3, 2.0, 11.0, 45.0, 59.0, 61.0, 500.0, 5000.0):
         assert one(spark, p=phred.chi2_tail_series(F.lit(x))).p == pytest.approx(phred.chi2_tail(x, 1), abs=1e-8)
 
 
@@ -119,6 +119,19 @@ def test_calls_of_simulated_reads(spark):
     assert {x.group for x in g} == {"even", "odd"} and all(len(x.af) >= 1 for x in g)
 
 
+def test_group_frequencies_of_indels(spark):
+    rows = [("chr1", 5, "A", "+TT" if i % 2 else "A", 30, f"S{i}") for i in range(60)] + [("chr1", 9, "A", ("-CG", "C", "A")[i % 3], 30, f"S{i}") for i in range(60)]
+    reads = spark.createDataFrame(rows, "chrom string, pos long, ref_base string, read_base string, bq int, sample_id string")
+    groups = spark.createDataFrame([(f"S{i}", "low" if i < 30 else "high") for i in range(60)], "sample_id string, group string")
+    sites = caller.call_sites(reads, 0.01)
+    af = {s.pos: (s.ref, s.alts, s.af) for s in sites.collect()}
+    assert af[5][:2] == ("A", ["ATT"]) and af[9][:2] == ("ACG", ["A", "CCG"])
+    got = {(x.pos, x.group): x.af for x in caller.group_af(reads, sites, groups, 0.01).collect()}
+    assert len(got) == 4
+    for (pos, _), x in got.items():
+        assert x == pytest.approx(af[pos][2], abs=0.02)
+
+
 def test_cigars(spark):
     df = spark.createDataFrame([("10H5S3M2I4M1D2M", 100), ("5H0M5H", 7), ("0I0D0P", 3), ("*", 0), ("2P3M", 5)], "cigar string, pos0 long")
     got = [[tuple(b) for b in r.b] for r in df.select(pileup.aligned_blocks(F.col("cigar"), F.col("pos0")).alias("b")).collect()]

@@ -53,7 +53,7 @@ def test_partitions_dont_matter(spark, tiny, name):
 
 
 def test_every_site_is_densified(spark, small):
-    got = queries()["zero_depth_densify_all"](spark, small)
+    got = queries()["zero_depth_densify"](spark, small)
     sites = duckdb.sql(f"select count(distinct l_partkey) from '{small}/lineitem.parquet' where l_returnflag <> 'R' and round(l_tax * 100) * 7 >= 5").fetchall()[0][0]
     samples = duckdb.sql(f"select count(distinct l_suppkey % 50) from '{small}/lineitem.parquet'").fetchall()[0][0]
     reads = duckdb.sql(f"select count(*) from '{small}/lineitem.parquet' where l_returnflag <> 'R' and round(l_tax * 100) * 7 >= 5").fetchall()[0][0]
@@ -67,8 +67,8 @@ def test_every_event_is_an_interval(spark, tiny):
     for e in events:
         start = 1 + e.event_id * 7919 % 900000
         covered.setdefault(f"chr{e.user_id % 5 + 1}", set()).update(range(start, start + e.event_id % 40 + 1))
-    assert {x.chrom: x.bases for x in queries()["interval_total_length_all"](spark, tiny).collect()} == {c: len(s) for c, s in covered.items()}
-    assert queries()["annotate_info_all"](spark, tiny).where("info = 'DP=1'").count() == 0
+    assert {x.chrom: x.bases for x in queries()["interval_total_length"](spark, tiny).collect()} == {c: len(s) for c, s in covered.items()}
+    assert queries()["annotate_info"](spark, tiny).where("info = 'DP=1'").count() == 0
 
 
 def test_every_document_is_a_reference(spark, tiny):
@@ -80,4 +80,4 @@ def test_every_document_is_a_reference(spark, tiny):
             m = s[at : at + 4]
             want[i] = m[::-1].translate(str.maketrans("ACGTN", "TGCAN")) if i % 2 else m
             used.add((i % (max(docs) + 1), at // 500))
-    assert {x.event_id: x.motif for x in queries()["motif_from_reference_all"](spark, tiny).collect()} == want and len(used) > 100
+    assert {x.event_id: x.motif for x in queries()["motif_from_reference"](spark, tiny).collect()} == want and len(used) > 100
