@@ -6,14 +6,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._common import pick, stage
+from loomgrid.llm._common import pick, stage, tidied
 
 #: Queries multiplied at once and candidates of one tile; bytes of queries that one pass broadcasts.
-BLOCK_QUERIES, TILE_ROWS, PASS_BYTES = 512, 4096, 32 << 20
+BLOCK_QUERIES, TILE_ROWS, PASS_BYTES = 512, 2048, 32 << 20
 _EXACT = 2**53
 
 
@@ -38,29 +40,30 @@ def _floor(x):
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact; beyond 64 bits they are held at its ends."""
+    """Integer inner products, exact; one beyond 64 bits is an error, for its rank would be lost."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if bound < _EXACT:
         return (q @ c.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in r] for r in m.tolist()], object)
     s = whole(q) @ whole(c).T
-    return np.clip(s, 1 - 2**63, 2**63 - 1).astype(np.int64)
+    if s.size and not (-(2**63) < s.min() and s.max() < 2**63):
+        raise OverflowError("an inner product exceeds 64 bits; use a smaller scale")
+    return s.astype(np.int64)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row the positions of the ``k`` best, by score downwards, then id upwards.
+def best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the ``k`` best scores, of equal ones the first columns.
 
-    Partial selection finds the k-th score; all that reach it are sorted, so ties are exact.
+    Partial selection finds the k-th score; what is above it is taken, and of what equals it as
+    many as are wanted, so ties are exact however many there are.
     """
-    out = []
     n = scores.shape[1]
-    if not n or not k:
-        return [np.zeros(0, np.int64)] * len(scores)
-    cut = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), np.iinfo(np.int64).min)
-    for row, least in zip(scores, cut):
-        at = np.flatnonzero(row >= least)
-        out.append(at[np.lexsort((ids[at], -row[at]))][:k])
-    return out
+    if n <= k:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    cut = np.partition(scores, n - k, axis=1)[:, n - k, None]
+    above, level = scores > cut, scores == cut
+    level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)
+    return np.nonzero(above | level)[1].reshape(len(scores), k)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -72,7 +75,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     candidate as often as it stands there, and a repeated query is answered once.  An empty side
     gives an empty result.
 
-    Queries are dealt into blocks, and each pass broadcasts blocks of at most ``PASS_BYTES``.
+    Queries are dealt into blocks; passes run one after the other, each with blocks of about
+    ``PASS_BYTES``, and write their lists before the next one's blocks are gathered.
     Every task multiplies its tiles with each block, selects per tile, and keeps one list per
     query; lists meet in a tree: by query and a part of the tasks first, then by query.
     """
@@ -88,19 +92,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     found: DataFrame | None = None
     for p in range(passes):
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else asked
-        table = part.toArrow()  # at most about PASS_BYTES, by the count above
-        by: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for qid, v in zip(table.column("id").to_pylist(), table.column("vector").to_pylist()):
-            by.setdefault(len(v), []).append((qid, v))
-        blocks = []
-        for length, group in by.items():
-            group.sort(key=lambda x: x[0])
-            for i in range(0, len(group), BLOCK_QUERIES):
-                own = group[i : i + BLOCK_QUERIES]
-                blocks.append((np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.float64).reshape(len(own), length)))
-        found_p = _pass(candidates, blocks, k)
-        found = found_p if found is None else found.unionByName(found_p)
-    tree = stage(found, "topk")  # the lists of all passes
+        sent = spark.sparkContext.broadcast(_blocks(part.toArrow()))  # about PASS_BYTES, by the count above
+        one = stage(_pass(candidates, sent, k), "topk")
+        sent.destroy()  # the driver and the executors hold one pass at a time
+        found = one if found is None else found.unionByName(one)
+    tree = found
     merged = _merge(_merge(tree, ["query_id", F.pmod(F.col("task"), F.lit(16)).alias("task")], k), ["query_id"], k)
     out = merged.select("query_id", F.posexplode("best").alias("rank", "b"))
     return out.select(F.col("query_id").cast(ids_kind).alias("query_id"), (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").cast(ids_kind).alias("vec_id"), (-F.col("b.minus")).alias("score"))
@@ -114,8 +110,25 @@ def _merge(lists: DataFrame, by: list, k: int) -> DataFrame:
 _ENTRY = T.ArrayType(T.StructType([T.StructField("minus", T.LongType()), T.StructField("id", T.LongType())]))
 
 
-def _pass(candidates: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
-    sent = candidates.sparkSession.sparkContext.broadcast(blocks)
+def _blocks(asked: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Queries in blocks of equal vector lengths: ids, vectors."""
+    ids = asked.column("id").cast(pa.int64()).to_numpy()
+    col = asked.column("vector").combine_chunks()
+    sizes, flat = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False), col.flatten().to_numpy(zero_copy_only=False)
+    starts, out = np.cumsum(sizes) - sizes, []
+    for length in np.unique(sizes):
+        mine = np.flatnonzero(sizes == length)
+        mine = mine[np.argsort(ids[mine])]
+        for i in range(0, len(mine), BLOCK_QUERIES):
+            own = mine[i : i + BLOCK_QUERIES]
+            out.append((ids[own], flat[starts[own][:, None] + np.arange(length)]))
+    return out
+
+
+_NONE = np.iinfo(np.int64).min  # no score
+
+
+def _pass(candidates: DataFrame, sent: Broadcast, k: int) -> DataFrame:
     arrow = pa.list_(pa.struct([("minus", pa.int64()), ("id", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,22 +136,21 @@ def _pass(candidates: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], k:
 
         task = TaskContext.get().partitionId()
         blocks = sent.value
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(i) for i, _ in blocks]
+        held = [(np.full((len(i), k), _NONE), np.zeros((len(i), k), np.int64)) for i, _ in blocks]
 
         def tile(ids: np.ndarray, vectors: np.ndarray) -> None:
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
             for b, (qids, q) in enumerate(blocks):
                 if q.shape[1] != vectors.shape[1]:
                     continue
                 s = _scores(q, vectors)
-                for j, at in enumerate(best_of(s, ids, min(k + 1, len(ids)) if len(ids) else 0)):
-                    own = s[j, at], ids[at]
-                    if (ids[at] == qids[j]).any():  # its own rows may have taken places of others
-                        others = np.flatnonzero(ids != qids[j])
-                        at = others[best_of(s[j : j + 1, others], ids[others], min(k, len(others)))[0]] if len(others) else others
-                        own = s[j, at], ids[at]
-                    ms, mi = (np.concatenate(x) for x in zip(held[b][j], own))
-                    top = np.lexsort((mi, -ms))[:k]
-                    held[b][j] = ms[top], mi[top]
+                s[qids[:, None] == ids] = _NONE  # a query's own rows
+                at = best_of(s, k)
+                ms = np.concatenate([held[b][0], np.take_along_axis(s, at, 1)], axis=1)
+                mi = np.concatenate([held[b][1], ids[at]], axis=1)
+                top = np.lexsort((mi, ~ms), axis=1)[:, :k]  # ~x falls as x grows, without overflow
+                held[b] = np.take_along_axis(ms, top, 1), np.take_along_axis(mi, top, 1)
 
         for b in batches:
             for start in range(0, b.num_rows, TILE_ROWS):
@@ -151,15 +163,14 @@ def _pass(candidates: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], k:
                 for length in np.unique(sizes):
                     mine = np.flatnonzero(sizes == length)
                     tile(ids[mine], flat[starts[mine][:, None] + np.arange(length)])
-        for b, (qids, _) in enumerate(blocks):
-            some = [j for j in range(len(qids)) if len(held[b][j][0])]
-            if some:
-                lens = [len(held[b][j][0]) for j in some]
-                minus = pa.array(np.concatenate([-held[b][j][0] for j in some]))
-                other = pa.array(np.concatenate([held[b][j][1] for j in some]))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([minus, other], ["minus", "id"])).cast(arrow)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[some]), pa.array([task] * len(some), pa.int32()), lists], ["query_id", "task", "best"])
+        for (qids, _), (ms, mi) in zip(blocks, held):
+            there = ms != _NONE
+            lens = there.sum(1)
+            some = lens > 0
+            if some.any():
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lens[some])]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(-ms[there]), pa.array(mi[there])], ["minus", "id"])).cast(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[some]), pa.array([task] * int(some.sum()), pa.int32()), lists], ["query_id", "task", "best"])
 
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("best", _ENTRY)])
-    return candidates.mapInArrow(run, schema)
+    return candidates.mapInArrow(tidied(run), schema)

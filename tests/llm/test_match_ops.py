@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -64,8 +65,23 @@ def test_topk_equals_brute_force(spark):
 
 
 def test_large_products_are_exact():
-    q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**62, 0.0]])
-    assert topk._scores(q, c).tolist() == [[2**60 + 1, 2**63 - 1]]
+    q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**22, 5.0]])
+    assert topk._scores(q, c).tolist() == [[2**60 + 1, 2**62 + 5]]
+    with pytest.raises(OverflowError):
+        topk._scores(q, np.array([[2.0**62, 0.0]]))
+
+
+def test_topk_in_many_passes(spark, monkeypatch):
+    for name, value in (("PASS_BYTES", 400), ("BLOCK_QUERIES", 4), ("TILE_ROWS", 7)):
+        monkeypatch.setattr(topk, name, value)
+    r = random.Random(2)
+    vecs = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(120)]
+    q = topk.quantise(spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(5), 1, id_col="vec_id", vector_col="embedding")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(q, q.where("id % 3 = 0"), 5).collect()}
+    for i in range(0, 120, 3):
+        want = sorted((-sum(a * b for a, b in zip(vecs[i][1], v)), j) for j, v in vecs if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in want]
+    assert len(got) == 200
 
 
 # ---------------------------------------------------------------- personal data
@@ -173,6 +189,63 @@ def test_fingerprints_and_neighbours(spark, tiny):
     assert np.mean([x.near_edited for x in got.values()]) > np.mean(far) + 0.2
 
 
+def plain_fingerprint(data):
+    """Byte by byte, from the definition."""
+    h = []
+    for i in range(len(data)):
+        x = sum((data[i - j] + 1) * pow(0x01000193, j, 2**32) for j in range(min(7, i + 1))) % 2**32
+        x = x * 0x9E3779B1 % 2**32
+        h.append(x ^ x >> 15)
+
+    def signed(block):
+        out, start = "", 0
+        for i, x in enumerate(h):
+            if i + 1 == len(data) or (x % block == block - 1 and len(out) < 63):
+                c = zlib.crc32(data[start : i + 1])
+                out, start = out + fuzzy.ALPHABET[(c ^ c >> 13) % 64], i + 1
+        return out
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(signed(block)) < 32:
+        block //= 2
+    return f"{block}:{signed(block)}:{signed(2 * block)}"
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    (bx, *xs), (by, *ys) = x.split(":"), y.split(":")
+    both = [(a, b) for i, a in enumerate(xs) for j, b in enumerate(ys) if int(bx) << i == int(by) << j]
+    best = 0.0
+    for a, b in both:
+        a, b = (re.sub(r"(.)\1{3,}", r"\1\1\1", s) for s in (a, b))
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            row, last = [i + 1], row
+            for j, d in enumerate(b):
+                row.append(last[j] if c == d else 1 + min(last[j + 1], row[j]))
+        if a and b:
+            best = max(best, 1 - row[-1] / (len(a) + len(b)))
+    return best
+
+
+def test_fingerprints_equal_a_plain_version(spark, tiny):
+    docs = {x.doc_id: x.text for x in spark.read.parquet(f"{tiny}/documents.parquet").where("length(text) < 6000").collect()}
+    docs |= {10_000: "", 10_001: "a", 10_002: "ab" * 700, 10_003: "é" * 40, 10_004: docs[min(docs)] + " and more"}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    marks = {i: plain_fingerprint(t.encode()) for i, t in docs.items()}
+    ids = sorted(docs)
+    for x in fuzzy.compare_with_edit(rows).collect():
+        other = ids[(ids.index(x.doc_id) + 1) % len(ids)]
+        text, following = docs[x.doc_id], docs[other]
+        half = len(text) // 2
+        new = text[: len(text) - half] + following[:half]
+        assert (x.fingerprint, x.edited_fingerprint) == (marks[x.doc_id], plain_fingerprint(new.encode()))
+        assert x.near_edited == pytest.approx(plain_likeness(x.fingerprint, x.edited_fingerprint)) and x.near_next == pytest.approx(plain_likeness(x.fingerprint, marks[other]))
+
+
 def test_fingerprints_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, "same text here"), (None, "no id"), (4, "é" * 30_000), (5, "a b c " * 9000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit(7))
