@@ -55,7 +55,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     everything = pii.joined(F.array_sort(F.concat("base", "added")))
-    return found.select("doc_id", *[n(k) for k in pii.BASE_KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), everything.alias("spans"))
+    method = [F.size(F.filter("added", lambda s: s.kind == kind)).cast("long").alias(f"n_added_{kind}") for kind in sorted(set(pii.KINDS))]  # noqa: B023
+    totals = [F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")]
+    return found.select("doc_id", *[n(k) for k in pii.BASE_KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), everything.alias("spans"), *method, *totals)
 
 
 def op8_fuzzy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
