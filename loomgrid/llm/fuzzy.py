@@ -139,8 +139,9 @@ def compare_with_edit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     spark = docs.sparkSession
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "id", "tie").sortWithinPartitions("id", "tie", "text")
+    # rows alike in id and text may stand in any order, so their own numbers split them over ranges
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), "id", "tie", "row").sortWithinPartitions("id", "tie", "text", "row").drop("row")
     kind = rows.schema["id"].dataType
     result = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
     arrow = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
