@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -98,7 +99,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -112,6 +113,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives the memory it has freed back to the system when its task ends; workers
+    are used again, and idle ones would keep it."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the columns that an operator works on, under the operator's own names.
 

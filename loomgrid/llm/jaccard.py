@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._common import pick, scratch, shuffle_partitions, small_batches, stage, sub_batches
+from loomgrid.llm._common import pick, scratch, shuffle_partitions, small_batches, stage, sub_batches, tidied
 from loomgrid.llm.components import components, relabel
 from loomgrid.llm.words import U, WordHasher, mix, shingles
 
 #: Words of a shingle; two sets link when PERCENT * union <= 100 * intersection.
 WORDS, PERCENT = 5, 80
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 #: Keys that a task packs together, and bytes of packed keys that meet in one task.
-PACK_KEYS, MEET_BYTES = 512 << 10, 16 << 20
+PACK_KEYS, MEET_BYTES = 256 << 10, 8 << 20
 #: A key that so many sets of one pack have is folded there.
 FOLD = 16
 #: Sets of a group that are compared with each other, or with as many others, in one step; words of
@@ -291,8 +291,8 @@ def candidates(texts: DataFrame, buckets: int, percent: int = PERCENT) -> DataFr
             if more.any():
                 yield _rows(1, k[more], c[more])
 
-    packed = texts.mapInArrow(spread, blob).repartition(buckets, "bucket")
-    return packed.mapInArrow(meet, _OUT)
+    packed = texts.mapInArrow(tidied(spread), blob).repartition(buckets, "bucket")
+    return packed.mapInArrow(tidied(meet), _OUT)
 
 
 def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def _texts_of(rows: DataFrame, involved: DataFrame) -> DataFrame:
                 schema.names,
             )
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidied(run), schema)
 
 
 def parts_of(pairs: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def _streamed(rows: DataFrame, percent: int) -> DataFrame:
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return laid.select("a", "b", "g").mapInArrow(run, "a long, b long")
+    return laid.select("a", "b", "g").mapInArrow(tidied(run), "a long, b long")
 
 
 def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -393,7 +393,7 @@ def near_sketches(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
             fine = [apart(x, y) * (100 + percent) <= (m + n) * (100 - percent) for m, n, x, y in zip(*cols)]
             yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _open_rows(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
@@ -453,7 +453,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
         if rest is not None and rest.num_rows > 1:
             yield _rows(0, *_pairs(*compare(rest))[:2])
 
-    return laid.mapInArrow(run, _OUT).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return laid.mapInArrow(tidied(run), _OUT).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def _more(comps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -498,7 +498,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kee
             yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in kept), pa.array(sets.n), pa.array(sets.cls.view(np.int64))], schema.names)
 
     with scratch() as stay:
-        listed = stage(rows.mapInArrow(measure, schema), "sets")
+        listed = stage(rows.mapInArrow(tidied(measure), schema), "sets")
         named = stage(_classes(rows, listed), "named")
         stay += [listed, named]
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))

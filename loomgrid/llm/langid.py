@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._common import pick, small_batches, sub_batches
+from loomgrid.llm._common import pick, small_batches, sub_batches, tidied
 
 #: Bounds of the fit, whatever the table's size: labelled documents that each language's dictionary
 #: is made of, code points that each of them gives, bytes of a dictionary, and labelled documents of
 #: each language that the margin is fitted on.
 SAMPLE_DOCS, PIECE_CHARS, DICTIONARY_BYTES, MARGIN_DOCS = 256, 256, 65_536, 400
 #: Share of rightly told documents of the fit that a fitted margin may reject.
-NARROW = 0.002
+NARROW = 0.0005
 UNKNOWN = "und"
 #: A text is encoded in frames of so many bytes, so that each byte meets the dictionary and not
 #: only what stands before it in its own text, and memory doesn't follow a text's length.
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Dictionaries, *, id_col: str = "doc_id", te
             cols = [b.column("0"), *(b.column(i) for i in at), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.bool_())))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def held_out(id_col: str | Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._common import pick, stage, sub_batches
+from loomgrid.llm._common import pick, small_batches, stage, sub_batches, tidied
 from loomgrid.llm.tokens import SLICE_BYTES, shipped
 
 #: Pieces packed together.  Each shard may leave one sequence half empty, so larger shards waste
@@ -105,7 +105,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, most: int, *, id_col: str
             cols = [b.column("id").take(pa.array(of, pa.int64()))] + [pa.array([x[k] for x in out], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array([x[4] for x in out], pa.binary())] * keep_ids, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacities: Capacities = Capacities(), *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, weights: tuple[float, float, float] = (1.0, 1e-9, 1e-9), rule: str = "norm", keep_ids: bool = False) -> DataFrame:
