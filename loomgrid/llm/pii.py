@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm._common import pick
+from loomgrid.llm._common import named_again, numbered
 from loomgrid.llm.pii_model import CONTEXT, FEATURES, KINDS, Boosted, train
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -162,8 +162,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     named for the first.  ``length_col``, if given, becomes the new text's length.  Other columns
     stay as they are, texts without spans too, and null texts stay null.
     """
-    columns = docs.columns
-    found = find(docs, id_col=id_col, text_col=text_col, keep=tuple(c for c in columns if c != id_col))
+    own, at = numbered(docs), {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
+    text_col, length_col = at[text_col], length_col and at[length_col]
+    found = find(own, id_col=at[id_col], text_col=text_col, keep=tuple(c for c in own.columns if c != at[id_col]))
     state = "struct<upto:bigint,parts:array<struct<start:bigint,end:bigint,kind:string>>>"
     spans = F.array_sort(F.concat("base", "added"))
 
@@ -187,4 +188,4 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     out = out.withColumn(text_col, new)
     if length_col:
         out = out.withColumn(length_col, F.when(F.size("__parts") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
-    return out.select(*[out[c] for c in columns])
+    return named_again(out, docs)

@@ -165,6 +165,18 @@ def test_trees_in_sql_equal_trees_in_python(spark):
             assert abs(x.p - want[x.i]) < 1e-9
 
 
+def test_secrets_of_the_documents_are_found(spark, small):
+    """Spans labelled by hand: in these tables the only data beyond the base patterns are quoted
+    tokens of forty hexadecimal digits; all are found, and nothing else is added."""
+    docs = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labelled = {(i, m.start(1), m.end(1)) for i, t in docs.items() for m in re.finditer('token = "([0-9a-f]{40})"', t)}
+    rows = queries.op7_pii(spark, small).collect()
+    added = {(x.doc_id, s.start, s.end) for x in pii.find(spark.read.parquet(f"{small}/documents.parquet")).collect() for s in x.added}
+    assert len(labelled) > 10 and labelled == added
+    assert sum(x.n_added for x in rows) == len(labelled) == sum(x.n_added_secret for x in rows)
+    assert all(x.n_spans == x.n_added + x.n_email + x.n_ip + x.n_card + x.n_phone == len(list(filter(None, x.spans.split(",")))) for x in rows)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.com or +1 (415) 555-0199 é 1.2.3.4", 5, "s"), (2, None, None, None), (3, "clean", 5, None), (None, "x@y.z", 5, None), (5, "", 0, "")], "doc_id long, text string, n_chars long, source string")
     got = {x.doc_id: x for x in pii.redact(docs, length_col="n_chars").collect()}
@@ -470,6 +482,64 @@ def test_licence_spans_are_verified(spark):
     assert all((x.score >= licenses.COVER) == bool(x.labels) and x.score <= 1 for x in got.values())
 
 
+def plain_scan(text):
+    """Labels and score by word lists: every place of a template's three words votes for its diagonal."""
+    words_of = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())
+    w = words_of(text or "")
+    base = {label for p, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.encode().split()}
+    shares, cut = {}, [words_of(n.text) for n in licenses.NOTICES]
+    places = defaultdict(list)
+    for i in range(len(w) - 2):
+        places[tuple(w[i : i + 3])].append(i)
+    for t, (notice, tw) in enumerate(zip(licenses.NOTICES, cut)):
+        grams = [tuple(tw[i : i + 3]) for i in range(len(tw) - 2)]
+        hits = defaultdict(list)
+        for p, g in enumerate(grams):
+            for i in places[g]:
+                hits[i - p].append((p, i))
+        siblings = []
+        for o, (other, ow) in enumerate(zip(licenses.NOTICES, cut)):
+            if other.label != notice.label:
+                lacks = {p for p, g in enumerate(grams) if g not in {tuple(ow[i : i + 3]) for i in range(len(ow) - 2)}}
+                if lacks and len(grams) - len(lacks) >= 0.7 * len(grams):
+                    siblings.append(lacks)
+        for d in hits:
+            own = [h for e in range(d, d + 4) for h in hits.get(e, [])]
+            seen = {p for p, _ in own}
+            marks = [words_of(m) for m in notice.marks]
+            told = all(any(grams[p][j : j + len(m)] == tuple(m) for p in seen for j in range(4 - len(m))) for m in marks) and all(seen & s for s in siblings)
+            share = min(len(seen), len({i for _, i in own})) / len(grams)
+            if told and share >= 0.7:
+                shares[t] = max(shares.get(t, 0), share)
+    labels = base | {licenses.NOTICES[t].label for t in shares}
+    return ",".join(sorted(labels)), 1.0 if base else max(shares.values(), default=0.0)
+
+
+def test_labels_and_scores_equal_a_plain_version(spark, small):
+    r = random.Random(12)
+    texts = []
+    for n in licenses.NOTICES:
+        w = n.text.split()
+        for _ in range(12):
+            v = list(w)
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(v))
+                if r.random() < 0.5:
+                    v[at] = "zzz"
+                else:
+                    v[at:at] = ["zzz"] * r.randint(1, 4)
+            other = r.choice(licenses.NOTICES).text.split()
+            texts.append(" ".join(r.choice([v, v + other, other[:5] + v + v[3:9] * 3, v[: len(v) // 2] + other + v[len(v) // 2 :]])))
+    texts += ["this program is " * 14, "free software you " * 30 + licenses.NOTICES[6].text, " ".join(reversed(licenses.NOTICES[0].text.split()))]
+    docs = spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    known = {x.doc_id: x.text for x in docs.collect()}
+    got = licenses.scan(docs).collect()
+    assert len(got) == len(known)
+    wrong = [(known[x.doc_id][:200], x.labels, x.score, plain_scan(known[x.doc_id])) for x in got if (x.labels, round(x.score, 9)) != (lambda a: (a[0], round(a[1], 9)))(plain_scan(known[x.doc_id]))]
+    assert wrong == []
+    assert sum(x.doc_id >= 100_000 and 0 < x.score < 1 for x in got) > 10 and sum(x.doc_id >= 100_000 and not x.labels for x in got) > 10
+
+
 def test_words_are_hashed_alike_in_any_batch():
     h = words.WordHasher(letters=False)
     one = [h.words([t.encode()])[0].tolist() for t in ("A bc", "d  é f", "", "a")]

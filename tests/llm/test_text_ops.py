@@ -169,6 +169,53 @@ def test_language_of_held_out_documents(spark, small):
     assert all(0 <= r.score <= 1 for r in rows) and sum(not r.accepted for r in rows) <= 0.01 * len(rows)
 
 
+def test_languages_equal_plain_compression(spark, tiny):
+    import zstandard
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    assert model == langid.fit(docs.where(~langid.held_out("doc_id")).repartition(7))  # whatever the partitions
+    params = zstandard.ZstdCompressionParameters.from_level(7, min_match=3, search_log=3, window_log=17, hash_log=15, chain_log=15, write_content_size=False, write_checksum=False, write_dict_id=False)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in langid.identify(docs, model).collect():
+        data, sizes = texts[r.doc_id].lower().encode(), []
+        for _, content in model.by_language:
+            c, n = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params), 0
+            for i in range(0, len(data), langid.FRAME_BYTES):
+                last = i + langid.FRAME_BYTES >= len(data)
+                n += len(c.compress(data[i : i + langid.FRAME_BYTES] + langid.TAIL * last))
+            sizes.append(n)
+        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        assert r.lang_pred == model.by_language[ranked[0]][0] and r.margin == sizes[ranked[1]] - sizes[ranked[0]]
+        assert r.accepted == (r.margin >= model.margin)
+
+
+def test_every_language_is_learned_once_from_many_rows(spark):
+    r = random.Random(4)
+    word = lambda a: "".join(r.choice(a) for _ in range(5))
+    names = [f"l{i:03d}" for i in range(300)]
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in names]
+    rows = [(3 * i + j, " ".join(word(a) for _ in range(40)), n) for i, (n, a) in enumerate(zip(names, alphabets)) for j in range(3)]
+    rows += [(7_777, "the very same text", names[0])] * 5000  # one row, repeated
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert {n for n, _ in model.by_language} == set(names) and model.by_language[0][0] == names[0]
+    assert b"".join(c for _, c in model.by_language).count(b"the very same text") <= 1
+    assert all(len(c) <= langid.DICTIONARY_BYTES for _, c in model.by_language)
+
+
+def test_no_letter_no_language_and_ties(spark):
+    docs = spark.createDataFrame([(i, f"{w} more words here", "en") for i, w in enumerate("the and of with".split())] + [(10 + i, "der und nicht eine schon", "de") for i in range(4)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    odd = ["½ ²", "①", "１２３ ٣", "!? \u20ac", "", "Ⅷ", "é", "x"]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([*enumerate(odd), (7, "x")], "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred == "und" and not got[i].accepted and got[i].score == 0 for i in range(8)] == [True] * 6 + [False] * 2
+    same = langid.Dictionaries((("b", b"one two three four"), ("a", b"one two three four")))
+    tied = langid.identify(docs, same).collect()
+    assert {(r.lang_pred, r.margin, r.accepted, r.score) for r in tied} == {("b", 0, False, 0.5)}
+    assert langid.narrowest([(0, False), (1, False), (3, True), (9, False), (20, True)]) == 2 and langid.narrowest([]) == 1
+
+
 def test_language_of_odd_texts(spark):
     words = {"en": "the and of with this that there", "de": "der und nicht eine schon ist auch"}
     rows = [(i, words[k], k, "x") for i, k in enumerate(["en", "de"] * 20)] + [(None, "the", "en", "x"), (50, None, "en", "x"), (51, "", None, "x"), (52, "123 !?", "de", "x"), (53, "the with this " * 5000, None, "x"), (54, "und nicht auch", None, "x")]
