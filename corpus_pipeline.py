@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that links lead through: that of the smallest id, and of
-    rows with that id in that group the one whose text hashes lowest.
+    rows with that id the one whose text hashes lowest.
 
     A row with a null id takes part after all others (by an id made of its text).  Documents
     without words are in no group and stay.  Of rows that repeat an id and its text one stays,
@@ -48,18 +48,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     own = numbered(docs)
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    own = own.withColumn("h", F.xxhash64(at["text"]))
-    own = own.withColumn("id", F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID) + F.pmod("h", F.lit(2**61))))
-    linked = stage(jaccard.link(own, id_col="id", text_col=at["text"], keep=["h"]), "linked")
-    first = linked.where("n_shingles > 0 and id = component_id").groupBy("component_id").agg(F.min("h").alias("first"))
-    rows = linked.groupBy("id", "h", "component_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("n"))
-    judged = stage(rows.join(first, "component_id", "left").select("id", "h", "times", ((F.col("n") == 0) | (F.col("id") == F.col("component_id")) & (F.col("h") == F.col("first"))).alias("stays")), "judged")
-    key = ["id", "h"]
-    kept = own.join(_few(judged.where("not stays").select(*key)), key, "left_anti")
-    again = judged.where("stays and times > 1").select(*key)
+    h = F.xxhash64(at["text"])
+    number = F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID) + F.pmod(h, F.lit(2**61)))
+    own = own.withColumn("id", F.struct(number.alias("number"), h.alias("h")))  # orders by the id, then the text
+    linked = jaccard.link(own, id_col="id", text_col=at["text"])
+    judged = linked.groupBy("id").agg(F.count("*").alias("times"), F.first("n_shingles").alias("n"), F.first("component_id").alias("of"))
+    judged = stage(judged.select("id", "times", ((F.col("n") == 0) | (F.col("id") == F.col("of"))).alias("stays")), "judged")
+    kept = own.join(_few(judged.where("not stays").select("id")), "id", "left_anti")
+    again = judged.where("stays and times > 1").select("id")
     if not again.isEmpty():
         again = _few(again)
-        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+        kept = kept.join(again, "id", "left_anti").unionByName(kept.join(again, "id", "left_semi").dropDuplicates(["id"]))
     return named_again(kept, docs)
 
 
