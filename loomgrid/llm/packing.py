@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._common import pick, small_batches, stage, sub_batches, tidied
+from loomgrid.llm._common import pick, scratch, small_batches, stage, sub_batches, tidied
 from loomgrid.llm.tokens import SLICE_BYTES, shipped
 
 #: Pieces packed together.  Each shard may leave one sequence half empty, so larger shards waste
 #: less; a shard is one task's work, so its size doesn't depend on the data's.
 SHARD_PIECES = 8_192
+#: Sequences filled less than this are packed again, those of many shards together.
+FILLED = 0.98
+#: Of tokens, documents and attention cost in norms and products.
+WEIGHTS = (1.0, 0.05, 0.05)
 
 
 @dataclass(frozen=True)
@@ -33,14 +37,14 @@ class Capacities:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
-def best_fit(lengths: np.ndarray, capacities: Capacities, weights: tuple[float, float, float] = (1.0, 1e-9, 1e-9), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, capacities: Capacities, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece by vector best-fit, longest pieces first.
 
     A piece demands (length, 1, length squared).  Of the open sequences whose residual vector
     covers the demand in every dimension, rule ``norm`` takes the one with the least weighted norm
     of what would remain, ``dot`` the one with the greatest weighted dot product of demand and
     residual, both relative to the capacities; ties go to the sequence opened first.  Where none
-    fits, one is opened.  The default weights let tokens decide and the others break ties.
+    fits, one is opened.
     """
     if rule not in ("norm", "dot"):
         raise ValueError(f"rule {rule!r}: norm or dot")
@@ -109,32 +113,52 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, most: int, *, id_col: str
     return rows.mapInArrow(tidied(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacities: Capacities = Capacities(), *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, weights: tuple[float, float, float] = (1.0, 1e-9, 1e-9), rule: str = "norm", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacities: Capacities = Capacities(), *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", keep_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences within the capacities.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, with
     ``keep_ids``, ``ids`` (little-endian unsigned 32-bit).  A document is its ids and ``end_id``;
     only longer ones are cut, the first piece taking what the full ones leave.  Full pieces are
     sequences of their own; the others are dealt at random, however alike, into shards of bounded
-    size, and each shard is packed by ``best_fit``.  A null or empty text is the end id alone; a
-    null id stays null; repeated rows are packed each; an empty table gives an empty result; other
-    columns are left behind.  A bound on attention cost must leave room for a full piece.
+    size, and each shard is packed by ``best_fit``.  What lies in sequences that a shard left
+    less than ``FILLED`` is dealt into fewer shards and packed again, as long as that saves any.
+    A null or empty text is the end id alone; a null id stays null; repeated rows are packed each;
+    an empty table gives an empty result; other columns are left behind.  A bound on attention cost
+    must leave room for a full piece.
     """
     most = min(capacities.tokens, int(np.sqrt(capacities.vector()[2])))
     pieces = token_pieces(docs, tokenizer_path, most, id_col=id_col, text_col=text_col, end_id=end_id, keep_ids=keep_ids)
-    pieces = stage(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    alone = F.col("length") == capacities.tokens
-    n_shards = max(1, -(-pieces.where(~alone).count() // SHARD_PIECES))
-    schema = T.StructType([f for f in pieces.schema if f.name != "uid"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    names = schema.names
+    with scratch() as kept:
+        pieces = stage(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+        alone = F.col("length") == capacities.tokens
+        small = pieces.where(~alone)
+        shards, deal = max(1, -(-small.count() // SHARD_PIECES)), 0
+        placed = stage(_filled(small, shards, deal, capacities, weights, rule), "placed")
+        while shards > 1:
+            by = placed.groupBy("sequence_id").agg(F.sum("length").alias("filled"), F.count("*").alias("n")).where(F.col("filled") < FILLED * capacities.tokens)
+            loose, sequences = by.agg(F.sum("n"), F.count("*")).first()
+            if not loose or -(-loose // SHARD_PIECES) >= shards:
+                break
+            shards, deal = -(-loose // SHARD_PIECES), deal + 1
+            again = stage(_filled(placed.join(by, "sequence_id", "left_semi"), shards, deal, capacities, weights, rule), "again")
+            if again.select("sequence_id").distinct().count() >= sequences:
+                break
+            placed = stage(placed.join(by, "sequence_id", "left_anti").unionByName(again), "placed")
+        kept += [pieces, placed]
+    names = [c for c in pieces.columns if c != "uid"]
+    full = pieces.where(alone).select(*names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    packed = pieces.where(~alone).join(placed.drop("length"), "uid").select(*names, "sequence_id", "offset")
+    return full.unionByName(packed).withColumnRenamed("id", id_col)
+
+
+def _filled(pieces: DataFrame, shards: int, deal: int, capacities: Capacities, weights: tuple[float, float, float], rule: str) -> DataFrame:
+    """``uid, length, sequence_id, offset`` of pieces, dealt into shards; ``deal`` numbers the turn."""
 
     def fill(key: tuple[pa.Scalar, ...], shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("uid")
         seq, off = best_fit(shard.column("length").to_numpy(), capacities, weights, rule)
-        base = key[0].as_py() << 24
-        return shard.append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(off)).select(names)
+        base = (deal << 44 | key[0].as_py()) << 14  # a shard has fewer than 2^14 pieces
+        return shard.select(["uid", "length"]).append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(off))
 
-    full = pieces.where(alone).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")}).select(*names)
-    small = pieces.where(~alone).withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(n_shards)))
-    packed = small.groupBy("shard").applyInArrow(fill, schema)
-    return full.unionByName(packed).withColumnRenamed("id", id_col)
+    dealt = pieces.select("uid", "length").withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(deal)), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(fill, "uid long, length long, sequence_id long, offset long")

@@ -135,6 +135,16 @@ def test_packing_is_whole_gapless_and_tight(spark, small):
     assert n <= 1.01 * total / 2048 + 1
 
 
+def test_what_shards_leave_is_packed_again(spark, tiny, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 16)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    n, total = check_packing(packing.pack(docs, P.path("byte_bpe_50k.json")).collect(), texts)
+    monkeypatch.setattr(packing, "FILLED", 0.0)
+    once, _ = check_packing(packing.pack(docs, P.path("byte_bpe_50k.json")).collect(), texts)
+    assert n < once and n <= total / 2048 + 3
+
+
 def test_packing_of_odd_texts(hard):
     one = hard.where("doc_id is not null").dropDuplicates(["doc_id"])
     check_packing(packing.pack(one, P.path("byte_bpe_50k.json")).collect(), {r.doc_id: r.text or "" for r in one.collect()})
