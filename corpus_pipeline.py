@@ -20,7 +20,6 @@ NO_ID = 2**62
 BROADCAST_ROWS = 500_000
 #: What a sequence holds: tokens, documents, and attention cost (the sum of squared piece lengths).
 CAPACITIES = packing.Capacities(tokens=2048, documents=64)
-WEIGHTS = (1.0, 0.05, 0.05)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens and 64 documents; each row is a piece with its
     token ids.  A null text is the end token alone, a null id stays null, rows are packed each."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITIES, weights=WEIGHTS, keep_ids=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITIES, keep_ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packed)]
