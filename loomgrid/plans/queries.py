@@ -390,8 +390,8 @@ def motif_from_reference(spark, d):
     docs = view(spark, d, "fragments").select("doc_id", "seq", F.length("seq").alias("n")).where("n > 0")
     starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))
     chunks = docs.select("doc_id", "seq", F.explode(starts).alias("at")).select("doc_id", (F.col("at") / chunk).cast("long").alias("chunk"), F.substring(F.col("seq"), F.col("at") + 1, F.lit(chunk + K)).alias("letters"))
-    ids = view(spark, d, "fragments").agg((F.max("doc_id") + 1).alias("ids"))
-    ev = spark.read.parquet(f"{d}/events.parquet").crossJoin(ids).select("event_id", (F.col("event_id") % F.col("ids")).alias("doc_id"), (F.col("event_id") % 2 == 1).alias("is_rev"))
+    ids = (view(spark, d, "fragments").agg(F.max("doc_id")).first()[0] or 0) + 1
+    ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % ids).alias("doc_id"), (F.col("event_id") % 2 == 1).alias("is_rev"))
     placed = ev.join(docs.select("doc_id", "n"), "doc_id").withColumn("pos0", F.col("event_id") * 7919 % F.col("n"))
     met = placed.withColumn("chunk", F.floor(F.col("pos0") / chunk)).join(chunks, ["doc_id", "chunk"])
     m = F.substring(F.col("letters"), (F.col("pos0") - F.col("chunk") * chunk + 1).cast("int"), F.lit(K))
