@@ -51,13 +51,15 @@ def walk(reads: DataFrame, keep: list[str]) -> DataFrame:
     return reads.select(*keep, F.inline(each))
 
 
-def elements(reads: DataFrame, ref_chunks: DataFrame | None = None, chunk: int = 10_000) -> DataFrame:
+def elements(reads: DataFrame, ref_chunks: DataFrame | None = None, chunk: int = 10_000, overlap: int = 1_000) -> DataFrame:
     """Pileup rows of reads (``sample_id, chrom, pos0, mapq, cigar, seq, qual, strand``).
 
     A base is its letter; an insertion ``+letters`` with the quality of the element before it (the
     inserted bases' mean if it comes first), a deletion ``-`` and the reference letters with the
     quality before it (the read's mean if first).  Positions are 1-based, ranks count from 1; the
-    reference letter is that of the position, for an indel that of the position before.
+    reference letter is that of the position, for an indel that of the position before.  Chunks
+    carry ``overlap`` letters of the next; a deletion that is longer is put together from all the
+    chunks that it spans.
     """
     walked = walk(reads, ["sample_id", "chrom", "mapq", "strand", "seq", "qual"]).where(F.col("op").isin("M", "=", "X", "I", "D"))
     q = lambda at, n: F.transform(F.split(F.substring(F.col("qual"), (at + 1).cast("int"), n), ""), lambda c: F.ascii(c) - 33)
@@ -83,10 +85,28 @@ def elements(reads: DataFrame, ref_chunks: DataFrame | None = None, chunk: int =
     ref = ref_chunks.select("chrom", "chunk", F.col("seq").alias("letters"))
     indel = F.col("op").isin("I", "D")
     from_pos = F.col("pos") - F.when(indel, 1).otherwise(0)
-    joined = out.withColumn("chunk", F.floor((from_pos - 1) / chunk)).join(ref, ["chrom", "chunk"], "left")
+    far = (F.col("op") == "D") & (F.col("len") > overlap)
+    joined = out.where(~far).withColumn("chunk", F.floor((from_pos - 1) / chunk)).join(ref, ["chrom", "chunk"], "left")
     at = (from_pos - F.col("chunk") * chunk).cast("int")
     first, deleted = F.upper(F.substring("letters", at, F.lit(1))), F.upper(F.substring("letters", at + 1, F.col("len")))
-    return joined.withColumns({"ref_base": first, "read_base": F.when(F.col("op") == "D", F.concat(F.lit("-"), deleted)).otherwise(F.col("read_base"))}).drop("chunk", "letters", "op", "len")
+    near = joined.withColumns({"ref_base": first, "read_base": F.when(F.col("op") == "D", F.concat(F.lit("-"), deleted)).otherwise(F.col("read_base"))}).drop("chunk", "letters", "op", "len")
+    return near.unionByName(_far_deletions(out.where(far), ref, chunk))
+
+
+def _far_deletions(rows: DataFrame, ref: DataFrame, chunk: int) -> DataFrame:
+    """Deletions that reach beyond their chunk's letters; equal ones are looked up once."""
+    names = rows.columns
+    each = rows.groupBy(*names).agg(F.count("*").alias("times"))
+    lo, hi = F.greatest(F.floor((F.col("pos") - 2) / chunk), F.lit(0)), F.floor((F.col("pos") + F.col("len") - 2) / chunk)
+    met = each.withColumn("chunk", F.explode(F.sequence(lo, hi))).join(ref, ["chrom", "chunk"], "left")
+    part = F.struct("chunk", F.substring("letters", 1, chunk).alias("letters"))
+    whole = met.groupBy(*names, "times").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p.letters), "")
+    at = (F.col("pos") - 1 - F.get("parts", F.lit(0)).chunk * chunk).cast("int")
+    deleted = F.upper(F.substring("text", at + 1, F.col("len")))
+    found = whole.withColumn("text", text).withColumns({"ref_base": F.upper(F.substring("text", at, F.lit(1))), "read_base": F.concat(F.lit("-"), deleted)})
+    again = found.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return again.select(*[c for c in names if c not in ("op", "len")], "ref_base")
 
 
 def relocate_indels(rows: DataFrame) -> DataFrame:

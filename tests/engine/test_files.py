@@ -121,6 +121,22 @@ def test_commands(spark, tmp_path, capsys):
         cli.run(["subsam", "-i", str(tmp_path / "x.vcf"), "-o", str(tmp_path / "sub"), "nobody"])
 
 
+def test_regions_are_united(spark, tmp_path):
+    rows = [("chr1", p, "A", "C" if i % 2 else "A", 30, 60, f"S{i}", "+", 1, False) for p in (5, 50, 500) for i in range(20)]
+    spark.createDataFrame(rows, "chrom string, pos long, ref_base string, read_base string, bq int, mapq int, sample_id string, strand string, rpr long, is_dup boolean").write.parquet(str(tmp_path / "p"))
+    for regions, want in (("chr1:1-9", [5]), ("chr1:1-9,chr1:40-60", [5, 50]), ("chr1:40-60,chr1:45-55,chr1:400", [50, 500]), ("", [5, 50, 500]), ("chr2", [])):
+        cli.run(["caller", "-I", str(tmp_path / "p"), "-o", str(tmp_path / "out"), "-r", regions])
+        assert sorted(r.pos for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_a_primary_read_isnt_lost_to_another_of_its_name(spark, tmp_path):
+    lines = "".join(f"r1\t{flag}\tchr1\t{pos}\t60\t8M\t*\t0\t0\t{seq}\tIIIIIIII\n" for flag, pos, seq in ((2048, 30, "GGGGGGGG"), (0, 1, "ACGTACGT"), (256, 40, "TTTTTTTT")))
+    (tmp_path / "x.sam").write_text("@SQ\tSN:chr1\tLN:60\n@RG\tID:x\tSM:s\n" + lines)
+    for regions in ("", "chr1:1-20,chr1:1-9"):
+        cli.run(["motif", "-I", str(tmp_path / "x.sam"), "-o", str(tmp_path / "m"), "-l", "2", "-r", regions])
+        assert {r.motif: int(r["count"]) for r in spark.read.csv(str(tmp_path / "m"), sep="\t", header=True).collect() if r["count"] != "0"} == {"AC": 1}
+
+
 def test_streaming(spark, tmp_path):
     from loomgrid.streaming import ingest
 

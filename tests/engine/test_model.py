@@ -149,6 +149,15 @@ def test_elements_and_relocation(spark):
     assert (3, "+T") in moved and (3, "G") not in moved and (5, "-TT") in moved and (5, "C") not in moved
 
 
+def test_deletions_longer_than_a_chunk(spark):
+    letters = "".join("ACGT"[(i * i + i // 3) % 4] for i in range(400))
+    ref = spark.createDataFrame([("chr1", i, letters[40 * i : 40 * i + 50]) for i in range(10)], "chrom string, chunk long, seq string")
+    cases = [(5, 8), (35, 11), (30, 90), (2, 300), (39, 41)]  # where the deletion begins (from 0), and its length
+    reads = spark.createDataFrame([(f"s{i}", "chr1", at - 2, 60, f"2M{n}D2M", "ACGT", "IIII", "+") for i, (at, n) in enumerate(cases) for _ in range(2)], "sample_id string, chrom string, pos0 long, mapq int, cigar string, seq string, qual string, strand string")
+    got = [(r.sample_id, r.pos, r.read_base, r.ref_base) for r in pileup.elements(reads, ref, 40, 10).where("read_base like '-%'").collect()]
+    assert sorted(got) == sorted((f"s{i}", at + 1, "-" + letters[at : at + n], letters[at - 1]) for i, (at, n) in enumerate(cases) for _ in range(2))
+
+
 def test_intervals(spark):
     iv = spark.createDataFrame([("a", 101, 200), ("a", 151, 301), ("a", 302, 310), ("b", 1, 5)], "chrom string, start long, end long")
     assert sorted(map(tuple, intervals.merge(iv).select("chrom", "start", "end").collect())) == [("a", 101, 301), ("a", 302, 310), ("b", 1, 5)]
