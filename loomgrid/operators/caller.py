@@ -82,7 +82,7 @@ class Site:
                     start = np.array([self.depth[b] for b in sub])
                 f, log = self._fit(sub, start / start.sum())
                 tried.append((2.0 * (lr - log), sub, f, log))
-            chi, sub, f, log = min(tried, key=lambda t: t[0])  # the first of equals
+            chi, sub, f, log = min(tried, key=lambda t: round(t[0], 6))  # the first of equals, whatever the order of the sums
             lr = log
             if chi >= THRESHOLD:
                 break

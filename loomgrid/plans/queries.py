@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import flags, phred, sequence
 from loomgrid.functions import genotypes as G
 from loomgrid.operators import caller, fetal, fragments, genotype, intervals, pileup, variants
+from loomgrid.plans import model
 from loomgrid.plans.views import view, view_sql
 from loomgrid.sources import text
 
@@ -106,17 +108,46 @@ def group_dp_af(spark, d):
     return e.select(*SITE, "group", "depth", *[r(F.get("f", F.lit(i))).alias(f"f{b}") for i, b in enumerate("acgt")])
 
 
-@query()
+def _listed(c):
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.4f", F.round(x, 4))), ",")
+
+
+def sites_sql(source: str) -> str:
+    """Called sites of the reads in ``source``, as ``called``; sites with reference reads alone are none."""
+    return f"""m_off as (select chrom, pos from {source} group by all having count(*) filter (where read_base <> ref_base) > 0),
+m_reads as (select s.* from {source} s join m_off using (chrom, pos)), {model.step_down("chrom, pos", "m_reads", 0.05)}, {model.quality()},
+called as (select *, replace(keep, ref_base, '') alts, cast(list_sum(list_transform(string_split(keep, ''), lambda l: case l when 'A' then da when 'C' then dc when 'G' then dg else dt end)) as bigint) dp from scored where length(keep) > 1 or keep <> ref_base)"""
+
+
+SITES = f"select chrom, pos, ref_base \"ref\", array_to_string(string_split(alts, ''), ',') alts, qual, dp, {model.listed('alts', model.FREQ)} af from called"
+
+
+def _sites(p):
+    c = caller.call_sites(p, min_af=0.05)
+    return c.select(*SITE, "ref", F.array_join("alts", ",").alias("alts"), "qual", "dp", _listed("af").alias("af"))
+
+
+def group_af_sql(source: str) -> str:
+    """The model of each population among a called site's alleles; alleles that aren't kept have 0."""
+    names = [f"{c}_{i}" for c in ("cut", "held", "start", "em", "fit", "pick", "state") for i in range(4)] + ["m_alike", "m_lik", "m_site", "m_active", "m_start"]
+    again = model.step_down('chrom, pos, "group"', "g_reads", 0.05, "among_alleles")
+    for n in names:
+        again = re.sub(rf"\b{n}\b", f"g_{n}", again)
+    return f"""{sites_sql(source)}, g_reads as (select k.*, g."group", concat(c.ref_base, c.alts) among_alleles from {source} k join groups g using (sample_id) join called c using (chrom, pos)), {again},
+g_all as (select chrom, pos, "group", count(*) dp from g_reads group by all)
+select a.chrom, a.pos, a."group", a.dp, {model.listed('c.alts', f"case when s.keep is not null and contains(s.keep, l) then {model.FREQ.replace(' f', ' s.f')} else 0 end")} af from g_all a join called c using (chrom, pos) left join g_state_3 s using (chrom, pos, "group")"""
+
+
+@query(f"with recursive {KEPT}, {sites_sql('kept')} {SITES}")
 def caller_sites(spark, d):
-    c = caller.call_sites(reads(spark, d), min_af=0.05)
-    return c.select(*SITE, "ref", F.array_join("alts", ",").alias("alts"), "qual", "dp", F.array_join(F.transform("af", lambda x: F.round(x, 4).cast("string")), ",").alias("af"))
+    return _sites(reads(spark, d))
 
 
-@query()
+@query(f"with recursive {KEPT}{V4}, {group_af_sql('kept')}")
 def caller_group_af(spark, d):
     p = reads(spark, d)
     g = caller.group_af(p, caller.call_sites(p, min_af=0.05), sample_groups(spark, d), min_af=0.05)
-    return g.select(*SITE, "group", "dp", F.array_join(F.transform("af", lambda x: F.round(x, 4).cast("string")), ",").alias("af"))
+    return g.select(*SITE, "group", "dp", _listed("af").alias("af"))
 
 
 @query(f"""with recursive {KEPT}{_em_sql('chrom, pos', 'kept')},
