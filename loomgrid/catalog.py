@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgrid.plans import records  # noqa: F401  (registers its queries)
 from loomgrid.plans.queries import QUERIES, SQL
 
 

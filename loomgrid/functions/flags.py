@@ -33,12 +33,12 @@ def decoded(flag: Column) -> dict[str, Column]:
     }
 
 
-def proper_orientation(flag: Column, pos: Column, mate_pos: Column, isize: Column) -> Column:
-    """Forward read before reverse mate, both mapped."""
+def proper_orientation(flag: Column, chrom: Column, pos: Column, mate_chrom: Column, mate_pos: Column) -> Column:
+    """Both mapped to one sequence, and a forward read before its reverse mate: the read that lies
+    first must be that one, any other read must not look like it."""
     d = decoded(flag)
-    facing = d["is_reverse"] != d["is_mate_reverse"]
-    ahead = F.when(d["is_reverse"], mate_pos <= pos).otherwise(pos <= mate_pos)
-    return d["is_paired"] & d["is_mapped"] & d["is_mate_mapped"] & facing & ahead & (isize != 0)
+    forward = ~d["is_reverse"] & bit(flag, "mate_reverse")
+    return d["is_mapped"] & d["is_mate_mapped"] & (chrom == mate_chrom) & F.when(pos < mate_pos, forward).otherwise(~forward)
 
 
 def caller_reads(flag: Column, mapq: Column, min_mapq: int = 5) -> Column:

@@ -17,27 +17,48 @@ def pairs(n: int | Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda j: F.transform(F.sequence(F.lit(0), j), lambda k: F.struct(k.alias("k"), j.alias("j")))))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: inside lambdas an expression is evaluated again
+    for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _error(bq: Column) -> Column:
+    return F.when(bq < 0, F.lit(1.0)).otherwise(F.pow(F.lit(10.0), -bq / 10.0))
+
+
+def _shown(base: Column, error: Column, allele: Column) -> Column:
+    """P(read | allele): an error falls on three others."""
+    return F.when(base == allele, 1.0 - error).otherwise(error / 3.0)
+
+
 def read_log10(base: Column, bq: Column, a: Column, b: Column) -> Column:
-    """log10 P(read | genotype a/b): the mean of both alleles, an error falling on three others."""
-    e = F.when(bq < 0, F.lit(1.0)).otherwise(F.pow(F.lit(10.0), -bq / 10.0))
-    one = lambda x: F.when(base == x, 1.0 - e).otherwise(e / 3.0)
-    return F.log10((one(a) + one(b)) / 2.0)
+    """log10 P(read | genotype a/b): the mean of both alleles."""
+    e = _error(bq)
+    return F.log10((_shown(base, e, a) + _shown(base, e, b)) / 2.0)
 
 
-def likelihoods(reads: Column, alleles: Column) -> Column:
-    """Summed log10 likelihood per genotype of ``reads`` (array of ``base, bq``); N is left out."""
-    used = F.filter(reads, lambda r: ~r.base.isin("N", "n"))
+def likelihoods(reads: Column, alleles: Column, alt_share: float = 0.5, counted: bool = False) -> Column:
+    """Summed log10 likelihood per genotype of ``reads`` (array of ``base, bq``, and ``n`` if they are
+    ``counted``); N is left out.
 
-    def of(g: Column) -> Column:
-        a, b = F.get(alleles, g.k), F.get(alleles, g.j)
-        return F.aggregate(used, F.lit(0.0), lambda acc, r: acc + read_log10(r.base, r.bq, a, b))
+    ``alt_share`` is the share of reads that a heterozygote of the reference shows of its other allele.
+    """
+    if not 0.0 <= alt_share <= 1.0:
+        raise ValueError("the share must lie between 0 and 1")
+    used = F.transform(F.filter(reads, lambda r: ~F.upper(r.base).startswith("N")), lambda r: F.struct(r.base.alias("base"), _error(r.bq).alias("e"), (r.n if counted else F.lit(1)).alias("n")))
 
-    return F.transform(pairs(F.size(alleles)), of)
+    def of(rs: Column, names: Column) -> Column:
+        share = lambda g: F.when((g.k == 0) & (g.j > 0), F.lit(alt_share)).otherwise(F.lit(0.5))
+        each = F.transform(pairs(F.size(names)), lambda g: F.struct(F.get(names, g.k).alias("a"), F.get(names, g.j).alias("b"), share(g).alias("w")))
+        return F.transform(each, lambda g: F.aggregate(rs, F.lit(0.0), lambda s, r: s + r.n * F.log10((1.0 - g.w) * _shown(r.base, r.e, g.a) + g.w * _shown(r.base, r.e, g.b))))
+
+    return let(used, lambda rs: let(alleles, lambda names: of(rs, names)))
 
 
 def phred(logs: Column) -> Column:
     """Integer Phred scores relative to the best genotype."""
-    return F.transform(logs, lambda x: F.round((F.array_max(logs) - x) * 10.0).cast("int"))
+    return let(logs, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.round((top - x) * 10.0).cast("int"))))
 
 
 def argmin_genotype(pl: Column) -> Column:
@@ -51,33 +72,37 @@ def second_smallest(pl: Column) -> Column:
 
 def from_pl(pl: Column) -> Column:
     """Normalised likelihoods 10^(-(PL - min)/10)."""
-    raw = F.transform(pl, lambda x: F.pow(F.lit(10.0), -(x - F.array_min(pl)) / 10.0))
-    return normalised(raw)
+    return normalised(let(F.array_min(pl), lambda low: F.transform(pl, lambda x: F.pow(F.lit(10.0), -(x - low) / 10.0))))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def normalised(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(values, lambda x: x / total)
+    return let(values, lambda v: let(_total(v), lambda total: F.transform(v, lambda x: x / total)))
 
 
 def hw_prior(freqs: Column) -> Column:
     """f_k^2 and 2 f_k f_j for clamped frequencies; the sum isn't forced to 1."""
-    f = F.transform(freqs, lambda x: F.least(F.greatest(x, F.lit(PL_FLOOR)), F.lit(1.0 - PL_FLOOR)))
-    return F.transform(pairs(F.size(freqs)), lambda g: F.when(g.k == g.j, F.get(f, g.k) * F.get(f, g.k)).otherwise(2.0 * F.get(f, g.k) * F.get(f, g.j)))
+    clamped = F.transform(freqs, lambda x: F.least(F.greatest(x, F.lit(PL_FLOOR)), F.lit(1.0 - PL_FLOOR)))
+    return let(clamped, lambda f: F.transform(pairs(F.size(f)), lambda g: F.when(g.k == g.j, F.get(f, g.k) * F.get(f, g.k)).otherwise(2.0 * F.get(f, g.k) * F.get(f, g.j))))
 
 
 def allele_freqs(afs: Column) -> Column:
     """[max(1e-6, 1 - sum), af...] from the alternative alleles' frequencies."""
-    rest = F.lit(1.0) - F.aggregate(afs, F.lit(0.0), lambda acc, x: acc + x)
-    return F.concat(F.array(F.greatest(F.lit(PL_FLOOR), rest)), afs)
+    return F.concat(F.array(F.greatest(F.lit(PL_FLOOR), F.lit(1.0) - _total(afs))), afs)
 
 
 def posterior(likelihood: Column, prior: Column) -> Column:
     """Normalised product; the prior where the product vanishes; empty for mismatched sizes."""
-    product = F.zip_with(likelihood, prior, lambda a, b: a * b)
-    total = F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)
-    fine = (F.size(likelihood) == F.size(prior)) & (F.size(likelihood) > 0)
-    return F.when(~fine, F.array().cast("array<double>")).when(total > 0, F.transform(product, lambda x: x / total)).otherwise(prior)
+
+    def of(lik: Column, pri: Column) -> Column:
+        shares = let(F.zip_with(lik, pri, lambda a, b: a * b), lambda v: let(_total(v), lambda total: F.when(total > 0, F.transform(v, lambda x: x / total)).otherwise(pri)))
+        fine = (F.size(lik) == F.size(pri)) & (F.size(lik) > 0)
+        return F.when(fine, shares).otherwise(F.array().cast("array<double>"))
+
+    return let(likelihood, lambda lik: let(prior, lambda pri: of(lik, pri)))
 
 
 def argmax(values: Column) -> Column:

@@ -123,4 +123,4 @@ def sor(rf: Column, rr: Column, af: Column, ar: Column) -> Column:
     add = F.when((rf == 0) | (rr == 0) | (af == 0) | (ar == 0), 1.0).otherwise(0.0)
     w, x, y, z = (c.cast("double") + add for c in (rf, rr, af, ar))
     s = w * z / (x * y) + x * y / (w * z)
-    return F.log(s) * (x / w - y / z)
+    return F.log(s) * (x / w - z / y)

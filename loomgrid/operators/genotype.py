@@ -10,9 +10,20 @@ from loomgrid.functions import genotypes as G
 SITE = ["chrom", "pos"]
 
 
+def counted(pileup: DataFrame) -> DataFrame:
+    """Reads of equal sample, base and quality in one row with their number ``reads``, and all rows of
+    a site together.  The steps of this module take such tables as well as single reads; on them
+    grouping and joining by site or below needs no further shuffle."""
+    return pileup.groupBy(*SITE, "sample_id", "ref_base", "read_base", "bq").agg(F.count("*").alias("reads")).repartition(*SITE)
+
+
+def _reads(pileup: DataFrame) -> Column:
+    return F.col("reads") if "reads" in pileup.columns else F.lit(1)
+
+
 def biallelic_sites(pileup: DataFrame) -> DataFrame:
     """Sites with reads off the reference: REF and the deepest other base (the first of equals)."""
-    depth = pileup.groupBy(*SITE, "ref_base", "read_base").agg(F.count("*").alias("depth"))
+    depth = pileup.groupBy(*SITE, "ref_base", "read_base").agg(F.sum(_reads(pileup)).alias("depth"))
     alt = F.max_by("read_base", F.struct("depth", (-F.ascii("read_base")).alias("order")))
     return depth.where(F.col("read_base") != F.col("ref_base")).groupBy(*SITE, "ref_base").agg(alt.alias("alt"))
 
@@ -23,11 +34,12 @@ def calls(pileup: DataFrame, sites: DataFrame) -> DataFrame:
     Log-likelihoods of the three genotypes are sums over reads, so they are formed before the
     shuffle; no read list is gathered.
     """
-    own = pileup.join(sites.select(*SITE, "alt"), SITE)
+    own, n = pileup.join(sites.select(*SITE, "alt"), SITE), _reads(pileup)
     alleles = F.array("ref_base", "alt")
     pair = {"l0": (0, 0), "l1": (0, 1), "l2": (1, 1)}
-    sums = [F.sum(G.read_log10(F.col("read_base"), F.col("bq"), F.get(alleles, F.lit(a)), F.get(alleles, F.lit(b)))).alias(n) for n, (a, b) in pair.items()]
-    got = own.groupBy(*SITE, "sample_id", "ref_base", "alt").agg(*sums, F.count_if(F.col("read_base") == F.col("ref_base")).alias("ref_n"), F.count_if(F.col("read_base") == F.col("alt")).alias("alt_n"))
+    sums = [F.sum(n * G.read_log10(F.col("read_base"), F.col("bq"), F.get(alleles, F.lit(a)), F.get(alleles, F.lit(b)))).alias(x) for x, (a, b) in pair.items()]
+    shown = lambda c: F.sum(F.when(F.col("read_base") == F.col(c), n).otherwise(0))
+    got = own.groupBy(*SITE, "sample_id", "ref_base", "alt").agg(*sums, shown("ref_base").alias("ref_n"), shown("alt").alias("alt_n"))
     pl = G.phred(F.array("l0", "l1", "l2"))
     return got.select(*SITE, "sample_id", "ref_base", "alt", F.array("ref_n", "alt_n").alias("ad"), (F.col("ref_n") + F.col("alt_n")).alias("dp"), pl.alias("pl"))
 
@@ -45,15 +57,16 @@ def with_posterior(calls: DataFrame, afs: DataFrame) -> DataFrame:
     freqs = G.allele_freqs(F.col("af"))
     post = G.posterior(G.from_pl(F.col("pl")), G.hw_prior(freqs))
     out = calls.join(afs.select(*SITE, "af"), SITE).withColumn("posterior", post)
-    best = G.argmax(F.col("posterior"))
+    best = G.argmax(F.transform("posterior", lambda x: F.round(x, 12)))  # the first of equals, whatever the order of the products
     pair = F.get(G.pairs(F.size(freqs)), best)
     return out.withColumns({"gt": F.array(pair.k, pair.j), "gq": G.quality(F.array_max("posterior")), "dosage": G.dosage(F.col("posterior"), F.size(freqs))})
 
 
 def read_af(pileup: DataFrame, sites: DataFrame) -> DataFrame:
     """The alternative's share of the reads that show REF or it."""
-    own = pileup.join(sites.select(*SITE, "alt"), SITE).where((F.col("read_base") == F.col("ref_base")) | (F.col("read_base") == F.col("alt")))
-    return own.groupBy(*SITE).agg((F.count_if(F.col("read_base") == F.col("alt")) / F.count("*")).alias("f")).select(*SITE, F.array("f").alias("af"))
+    own, n = pileup.join(sites.select(*SITE, "alt"), SITE), _reads(pileup)
+    own = own.where((F.col("read_base") == F.col("ref_base")) | (F.col("read_base") == F.col("alt")))
+    return own.groupBy(*SITE).agg((F.sum(F.when(F.col("read_base") == F.col("alt"), n).otherwise(0)) / F.sum(n)).alias("f")).select(*SITE, F.array("f").alias("af"))
 
 
 def counts(calls: DataFrame, gt: str = "gt", names: tuple[str, str, str] = ("ac", "an", "af")) -> DataFrame:

@@ -7,14 +7,32 @@ from pyspark.sql import functions as F
 
 #: Width of the bins that intervals and points meet in.
 BIN = 1 << 20
+#: Width of the bins that windows run over.
+CARRY = 1 << 14
 
 
-def merge(intervals: DataFrame) -> DataFrame:
-    """Union per chromosome; ranges that touch without a shared position stay apart."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    seen = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= seen, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return intervals.withColumn("island", island).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def _carried(df: DataFrame, value: Column, width: int) -> DataFrame:
+    """``chrom, bin, before``: the largest ``value`` of all earlier bins of the chromosome.  One row a
+    bin, so its size follows the genome and not the data."""
+    per = df.groupBy("chrom", F.floor(F.col("start") / width).alias("bin")).agg(F.max(value).alias("most"))
+    earlier = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select("chrom", "bin", F.max("most").over(earlier).alias("before"))
+
+
+def merge(intervals: DataFrame, width: int = CARRY) -> DataFrame:
+    """Union per chromosome; ranges that touch without a shared position stay apart.
+
+    Ranges of one start are joined first.  Then windows run over bins of starts, and what earlier bins
+    reach (their largest end, their last beginning of a union) is carried in from a table of bins.
+    """
+    longest = intervals.groupBy("chrom", "start").agg(F.max("end").alias("end"))
+    binned = longest.withColumn("bin", F.floor(F.col("start") / width))
+    w = Window.partitionBy("chrom", "bin").orderBy("start")
+    seen = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
+    flagged = binned.join(_carried(longest, F.col("end"), width), ["chrom", "bin"]).withColumn("begins", F.when(F.coalesce(F.col("start") > seen, F.lit(True)), F.col("start"))).drop("before")
+    begun = F.coalesce(F.max("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("before"))
+    of = flagged.join(_carried(flagged, F.col("begins"), width), ["chrom", "bin"]).withColumn("island", begun)
+    return of.groupBy("chrom", "island").agg(F.max("end").alias("end")).select("chrom", F.col("island").alias("start"), "end")
 
 
 def total_length(intervals: DataFrame) -> DataFrame:
@@ -42,17 +60,23 @@ def overlap_lengths(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     return met.groupBy("chrom").agg(F.sum(hi - lo + 1).alias("bases"))
 
 
-def last_start(points: DataFrame, intervals: DataFrame, pos: str = "pos") -> DataFrame:
-    """As-of: the last interval that starts at or before each point, with ``inside``.
+def last_start(points: DataFrame, intervals: DataFrame, pos: str = "pos", width: int = CARRY) -> DataFrame:
+    """As-of: the last interval that starts at or before each point, with ``inside``; of one start the
+    last end, and nulls before the first.
 
-    Both sides are laid in one order and the last start is carried on, so no range is joined.
+    Distinct positions and starts are laid in one order within bins, and the last start of earlier bins
+    is carried in from a table of bins, so no group exceeds two bins' positions and no range is joined.
     """
-    cols = points.columns
-    left = points.select("chrom", F.col(pos).alias("at"), F.lit(1).alias("kind"), F.struct(*cols).alias("point"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("own"))
-    right = intervals.select("chrom", F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(left.schema["point"].dataType).alias("point"), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).alias("own"))
-    w = Window.partitionBy("chrom").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    laid = left.unionByName(right).withColumn("last", F.last("own", True).over(w)).where("kind = 1")
-    return laid.select("point.*", F.col("last.start").alias("start"), F.col("last.end").alias("end"), F.coalesce(F.col("at") <= F.col("last.end"), F.lit(False)).alias("inside"))
+    own = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    starts = intervals.groupBy("chrom", "start").agg(F.max("end").alias("end")).withColumn("own", own)
+    places = points.select("chrom", F.col(pos).alias("start")).where("chrom is not null and start is not null").distinct()
+    laid = starts.select("chrom", F.col("start").alias("at"), F.lit(0).alias("kind"), "own").unionByName(places.select("chrom", F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["own"].dataType).alias("own")))
+    w = Window.partitionBy("chrom", "bin").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    within = laid.withColumn("bin", F.floor(F.col("at") / width)).withColumn("last", F.last("own", True).over(w)).where("kind = 1")
+    every = starts.select("chrom", "start", "own").unionByName(places.withColumn("own", F.lit(None).cast(starts.schema["own"].dataType)))
+    got = within.join(_carried(every, F.col("own"), width), ["chrom", "bin"]).select("chrom", F.col("at").alias(pos), F.coalesce("last", "before").alias("last"))
+    met = points.join(got, ["chrom", pos], "left")
+    return met.select(*points.columns, F.col("last.start").alias("start"), F.col("last.end").alias("end"), F.coalesce(F.col(pos) <= F.col("last.end"), F.lit(False)).alias("inside"))
 
 
 def tiles(regions: DataFrame, delta: int = 2_000_000) -> DataFrame:

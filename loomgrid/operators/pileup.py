@@ -199,3 +199,28 @@ def densify(sites: DataFrame, samples: DataFrame, pileup: DataFrame) -> DataFram
     else:
         every = sites.select(*SITE).withColumn("sample_id", F.explode(F.lit(listed).cast(f"array<{ids.schema[0].dataType.simpleString()}>")))
     return every.join(depth, [*SITE, "sample_id"], "left").fillna(0, ["depth"])
+
+
+def projections(cigar: Column, qual: Column, mapped: Column | None = None) -> dict[str, Column]:
+    """What a read's operations and qualities tell: its length, where its aligned part begins and ends
+    on the read as stored and reversed, its mean quality, and its longest insertion and deletion.
+
+    Clips count only while nothing but soft clips stands before them.  Positions and the mean are -1
+    and the longest ones 0 for unmapped reads.
+    """
+    mapped = F.lit(True) if mapped is None else mapped
+    clip = lambda pattern: F.aggregate(F.regexp_extract_all(F.regexp_extract(cigar, pattern, 1), F.lit("[0-9]+"), 0), F.lit(0), lambda s, x: s + x.cast("int"))
+    head, tail, n = clip("^((?:[0-9]+S)*)"), clip("((?:[0-9]+S)*)$"), F.length(qual)
+    longest = lambda op: F.coalesce(F.array_max(F.transform(F.filter(cigar_ops(cigar), lambda o: o.op == op), lambda o: o.len)), F.lit(0))
+    phreds = F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+    or_minus = lambda c: F.when(mapped, c).otherwise(-1)
+    return {
+        "query_length": n,
+        "query_start": or_minus(head),
+        "query_end": or_minus(n - tail),
+        "query_start_reverse": or_minus(tail),
+        "query_end_reverse": or_minus(n - head),
+        "mean_quality": F.when(mapped & (n > 0), F.aggregate(phreds, F.lit(0), lambda s, x: s + x) / F.when(n > 0, n)).otherwise(-1.0),
+        "longest_insertion": F.when(mapped, longest("I")).otherwise(0),
+        "longest_deletion": F.when(mapped, longest("D")).otherwise(0),
+    }

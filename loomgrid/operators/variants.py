@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SITE = ["chrom", "pos"]
 
 
+def unknown(kept: DataFrame, known: DataFrame) -> DataFrame:
+    """Wanted samples that the table doesn't have."""
+    return kept.select("sample_id").distinct().join(known.select("sample_id"), "sample_id", "left_anti")
+
+
 def check_names(kept: DataFrame, known: DataFrame) -> None:
     """Every wanted sample must exist."""
-    missing = [r[0] for r in kept.select("sample_id").join(known.select("sample_id"), "sample_id", "left_anti").limit(5).collect()]
+    missing = [r[0] for r in unknown(kept, known).limit(5).collect()]
     if missing:
         raise ValueError(f"unknown samples: {missing}")
 
@@ -136,6 +146,15 @@ def detection(n_true: int, n_called: int, n_matched: int) -> dict[str, float]:
     return {"tp": n_matched, "fp": fp, "fn": fn, "sensitivity": recall, "precision": precision, "f1": 2 * recall * precision / (recall + precision) if recall + precision else 0.0}
 
 
+def detected(truth: DataFrame, calls: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row: true variants found and missed, calls beyond them, and the shares of ``detection``."""
+    n = truth.agg(F.count("*").alias("t")).crossJoin(calls.agg(F.count("*").alias("c"))).crossJoin(matched.agg(F.count("*").alias("tp")))  # single rows
+    n = n.select("tp", (F.col("c") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"))
+    share = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return n.withColumns({"sensitivity": share(tp, tp + fn), "precision": share(tp, tp + fp), "f1": share(2.0 * tp, 2 * tp + fp + fn)})
+
+
 def concordance(truth: DataFrame, calls: DataFrame) -> DataFrame:
     """Per sample: compared genotypes and equal ones; phase doesn't matter, missing calls are left out."""
     both = truth.select(*SITE, "sample_id", F.array_sort("gt").alias("t")).join(calls.select(*SITE, "sample_id", F.array_sort("gt").alias("c")), [*SITE, "sample_id"])
@@ -164,8 +183,6 @@ def af_neighbours(sites: DataFrame, low: float = 0.9, high: float = 1.1) -> Data
     Counts of whole frequency classes in bins of log(af) stand in for pairs of rows: a class meets
     the classes of its own and the next bins only.
     """
-    import math
-
     width = math.log(high / low)
     classes = sites.where("af > 0").groupBy("af").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.log("af") / width))
     other = classes.select(F.col("af").alias("b"), F.col("n").alias("m"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
@@ -188,4 +205,69 @@ def log_histogram(df: DataFrame, x: str, y: str, bins: int, low: float, high: fl
 
 
 def is_pass(filters: Column) -> Column:
-    return filters.isin(".", "PASS") | filters.isNull()
+    """No filters, or the single PASS."""
+    return filters.isNull() | filters.isin("", ".", "PASS")
+
+
+def allowed(sites: DataFrame, passing: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Sites (``chrom, pos, alt``) of the pass list; with ``targets`` (``chrom, pos, ref, alts``), of
+    those only single letters that a target of single letters names as an alternative, in any case."""
+    kept = sites.join(passing.select(*SITE), SITE, "left_semi")
+    if targets is None:
+        return kept
+    letters = targets.where((F.length("ref") == 1) & ~F.exists("alts", lambda a: F.length(a) > 1))
+    named = letters.select(*SITE, F.explode(F.transform("alts", F.upper)).alias("alt"))
+    return kept.join(named, [*SITE, "alt"], "left_semi")
+
+
+def group_truth(calls: DataFrame, groups: DataFrame) -> DataFrame:
+    """Observed ``an`` and ``af`` (one per alternative seen in the group, one at least) of each group
+    at each site; missing alleles don't count, and a group of none has 0."""
+    own = calls.join(groups.select("sample_id", "group"), "sample_id")
+    alleles = F.filter("gt", lambda a: a >= 0)
+    each = own.select(*SITE, "group", F.explode_outer(alleles).alias("allele")).groupBy(*SITE, "group", "allele").agg(F.count("allele").alias("n"))
+    per = each.groupBy(*SITE, "group").agg(F.sum("n").alias("an"), F.max("allele").alias("top"), F.map_from_entries(F.collect_list(F.when(F.col("allele").isNotNull(), F.struct("allele", "n")))).alias("seen"))
+    share = lambda i: F.when(F.col("an") > 0, F.coalesce(F.try_element_at("seen", i), F.lit(0)) / F.col("an")).otherwise(0.0)
+    return per.select(*SITE, "group", "an", F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce("top", F.lit(1)), F.lit(1))), share).alias("af"))
+
+
+def drawn(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, the same ones for a seed however the rows are spread: those
+    whose keys' digests come first."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)), *keys).limit(n)
+
+
+def summary(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """Count, sum, mean, deviation (n - 1), standard error, median, and the first ``order`` of the
+    smallest and of the largest value.  Values are counted first, so a group is as large as its
+    distinct values; deviation and error are null for a single value."""
+    at = df.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    v, n = F.col(value).cast("double"), F.col("n")
+    mean = F.sum(v * n) / F.sum("n")
+    per = at.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(v * n).alias("sum"), mean.alias("mean"), F.percentile(value, 0.5, n).alias("median"), F.min_by("o", value).alias("first_min"), F.max_by("o", value).alias("first_max"))
+    squares = at.join(per.select(*by, "mean"), by).groupBy(*by).agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("ss"))
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1)))
+    return per.join(squares, by).withColumn("sd", sd).withColumn("se", F.col("sd") / F.sqrt("n")).drop("ss")
+
+
+@F.pandas_udf(T.DoubleType())
+def fisher_2x3(a: pd.Series, b: pd.Series, c: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+    """Exact p of 2 x 3 tables (first row ``a, b, c``): all tables at most as likely as the observed
+    one (up to 1e-7); 1 for an empty table."""
+    return pd.Series([table_2x3(*(int(v) for v in t)) for t in zip(a, b, c, x, y, z)], dtype=float)
+
+
+def table_2x3(a: int, b: int, c: int, x: int, y: int, z: int) -> float:
+    if min(a, b, c, x, y, z) < 0:
+        raise ValueError("a table holds a negative count")
+    first, columns = a + b + c, (a + x, b + y, c + z)
+    if not sum(columns):
+        return 1.0
+    choose = [np.array([math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) for k in range(m + 1)]) for m in columns]
+    i, j = np.meshgrid(np.arange(columns[0] + 1), np.arange(columns[1] + 1), indexing="ij")
+    k = first - i - j
+    i, j, k = (v[(k >= 0) & (k <= columns[2])] for v in (i, j, k))
+    n = sum(columns)
+    p = np.exp(choose[0][i] + choose[1][j] + choose[2][k] - (math.lgamma(n + 1) - math.lgamma(first + 1) - math.lgamma(n - first + 1)))
+    seen = p[(i == a) & (j == b)][0]
+    return float(min(1.0, p[p <= seen * (1 + 1e-7)].sum()))

@@ -180,7 +180,7 @@ post as (select *, q0 * h0 / t z0, q1 * h1 / t z1, q2 * h2 / t z2 from (select l
 
 
 def _calls(spark, d):
-    p = reads(spark, d)
+    p = genotype.counted(reads(spark, d))
     return p, (s := genotype.biallelic_sites(p)), genotype.calls(p, s)
 
 
@@ -209,7 +209,7 @@ def pl_to_likelihood(spark, d):
 
 @query(f"with {LIK} select chrom, pos, round(h0, 6) h0, round(h1, 6) h1, round(h2, 6) h2 from prior")
 def hw_prior(spark, d):
-    p = reads(spark, d)
+    p = genotype.counted(reads(spark, d))
     a = genotype.read_af(p, genotype.biallelic_sites(p)).withColumn("h", G.hw_prior(G.allele_freqs(F.col("af"))))
     return a.select(*SITE, *[r(F.get("h", F.lit(i))).alias(f"h{i}") for i in range(3)])
 
@@ -276,7 +276,7 @@ def strand_table_dp4(spark, d):
     return genotype.strand_table(p, genotype.biallelic_sites(p)).withColumn("dp4", F.concat_ws(",", "rf", "rr", "af", "ar"))
 
 
-@query(f"with {STRAND}, c as (select chrom, pos, rf + o rf, rr + o rr, af + o af, ar + o ar from (select *, case when rf = 0 or rr = 0 or af = 0 or ar = 0 then 1.0e0 else 0.0e0 end o from st)) select chrom, pos, round(ln(rf * ar / (rr * af) + rr * af / (rf * ar)) * (rr / rf - af / ar), 6) sor from c")
+@query(f"with {STRAND}, c as (select chrom, pos, rf + o rf, rr + o rr, af + o af, ar + o ar from (select *, case when rf = 0 or rr = 0 or af = 0 or ar = 0 then 1.0e0 else 0.0e0 end o from st)) select chrom, pos, round(ln(rf * ar / (rr * af) + rr * af / (rf * ar)) * (rr / rf - ar / af), 6) sor from c")
 def strand_sor(spark, d):
     p = reads(spark, d)
     return genotype.strand_table(p, genotype.biallelic_sites(p)).select(*SITE, r(phred.sor(*(F.col(c) for c in ("rf", "rr", "af", "ar")))).alias("sor"))
@@ -439,13 +439,29 @@ def _weights(spark, d):
     return fragments.decompose(fragments.motif_counts(_motifs(spark, d).select("sample_id", "motif"), K, zeros=False), fragments.even_profiles(), listed)
 
 
-@query()
+_J = range(1, 7)
+_MIX = f"""{_DENSE}, fr as (select sample_id, row_number() over (partition by sample_id order by motif) i, "count" / cast(sum("count") over (partition by sample_id) as double) f from dense qualify sum("count") over (partition by sample_id) > 0),
+raw as (select i, {", ".join(f"1 + 3 * pow(cos(i * {j} * 0.37e0), 2) r{j}" for j in _J)} from (select unnest(range(1, {4**K + 1})) i)),
+pr as (select i, {", ".join(f"r{j} / sum(r{j}) over () p{j}" for j in _J)} from raw),
+gram as (select [{", ".join("[" + ", ".join(f"sum(p{a} * p{b})" for b in _J) + "]" for a in _J)}] g, {" + ".join(f"sum(p{j} * p{j})" for j in _J)} tr from pr),
+aim as (select sample_id, [{", ".join(f"sum(p{j} * f)" for j in _J)}] c, sum(f * f) ff from fr join pr using (i) group by all),
+mix as (select sample_id, 0 k, list_transform(range(6), lambda i: 1 / 6.0e0) w, false done from aim
+  union all select sample_id, k + 1, nw, sqrt(list_sum(list_transform(list_zip(nw, w), lambda z: pow(z[1] - z[2], 2)))) < 1e-12
+  from (select *, list_transform(v, lambda x: greatest(x - (list_sum(u[1:rho]) - 1) / rho, 0)) nw
+    from (select *, list_max(list_filter(range(1, 7), lambda i: u[i] - (list_sum(u[1:i]) - 1) / i > 0)) rho
+      from (select *, list_reverse_sort(v) u
+        from (select m.*, list_transform(range(1, 7), lambda i: w[i] - (list_sum(list_transform(range(1, 7), lambda j: g[i][j] * w[j])) - c[i]) / tr) v from mix m join aim using (sample_id) cross join gram where not done and k < 10000)))) ),
+best as (select m.sample_id, w, ff - 2 * list_sum(list_transform(range(1, 7), lambda i: w[i] * c[i])) + list_sum(list_transform(range(1, 7), lambda i: w[i] * list_sum(list_transform(range(1, 7), lambda j: g[i][j] * w[j])))) residual
+  from mix m join aim using (sample_id) cross join gram where done or k = 10000)"""
+
+
+@query(f"with recursive {_MIX} select sample_id, {', '.join(f'round(w[{j}], 6) p{j}' for j in _J)} from best")
 def fprofile_weights(spark, d):
     w = _weights(spark, d)
     return w.select("sample_id", *[r(F.get("weights", F.lit(i))).alias(f"p{i + 1}") for i in range(6)])
 
 
-@query()
+@query(f"with recursive {_MIX} select sample_id, round(residual, 8) residual from best")
 def fprofile_residual(spark, d):
     return _weights(spark, d).select("sample_id", r("residual", 8).alias("residual"))
 
@@ -487,7 +503,7 @@ def geometric_scale(spark, d):
 
 # ------------------------------------------------------------------ intervals
 
-_IV = """iv as (select concat('chr', cast(user_id % 5 + 1 as varchar)) chrom, 1 + (event_id * 7919) % 900000 "start", 1 + (event_id * 7919) % 900000 + event_id % 40 "end" from events),
+_IV = """iv as (select concat('chr', cast(user_id % 5 + 1 as varchar)) chrom, 1 + (event_id * 7919) % 900000 "start", 1 + (event_id * 7919) % 900000 + event_id % 400 "end" from events),
 pt as (select event_id, concat('chr', cast(event_id % 6 + 1 as varchar)) chrom, 1 + (event_id * 104729) % 900000 pos from events)"""
 _MERGED = _IV + """, mk as (select *, case when "start" <= max("end") over (partition by chrom order by "start", "end" rows between unbounded preceding and 1 preceding) then 0 else 1 end f from iv),
 isl as (select *, sum(f) over (partition by chrom order by "start", "end" rows unbounded preceding) i from mk), merged as (select chrom, min("start") "start", max("end") "end" from isl group by chrom, i)"""
@@ -495,7 +511,7 @@ isl as (select *, sum(f) over (partition by chrom order by "start", "end" rows u
 
 def _iv(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    iv = e.selectExpr("concat('chr', cast(user_id % 5 + 1 as string)) chrom", "1 + (event_id * 7919) % 900000 start", "1 + (event_id * 7919) % 900000 + event_id % 40 end")
+    iv = e.selectExpr("concat('chr', cast(user_id % 5 + 1 as string)) chrom", "1 + (event_id * 7919) % 900000 start", "1 + (event_id * 7919) % 900000 + event_id % 400 end")
     return iv, e.selectExpr("event_id", "concat('chr', cast(event_id % 6 + 1 as string)) chrom", "1 + (event_id * 104729) % 900000 pos")
 
 

@@ -20,6 +20,9 @@ PILEUP = ("lineitem", [
     ("is_dup", "l_returnflag = 'R'"),
 ])
 
+#: The same reads, with up to four letters at a site.
+PILEUP4 = ("lineitem", [(n, e) if n != "read_base" else (n, "substr('ACGT', cast((l_partkey + case when (l_orderkey * 7 + l_linenumber * 13) % 10 < l_partkey % 5 then 1 + (l_orderkey + l_suppkey) % 3 else 0 end) % 4 + 1 as int), 1)") for n, e in PILEUP[1]])
+
 FRAGMENTS = ("documents", [
     ("doc_id", "doc_id"),
     ("sample_id", "source"),
@@ -46,7 +49,7 @@ CIGARS = ("orders", [
     ("cigar", "concat(cast(o_orderkey % 20 + 5 as {S}), 'M', cast(o_custkey % 3 + 1 as {S}), case o_custkey % 3 when 0 then 'I' when 1 then 'D' else 'S' end, cast(o_orderkey % 15 + 5 as {S}), 'M')"),
 ])
 
-VIEWS = {"pileup": PILEUP, "fragments": FRAGMENTS, "alignments": ALIGNMENTS, "cigar_reads": CIGARS}
+VIEWS = {"pileup": PILEUP, "pileup4": PILEUP4, "fragments": FRAGMENTS, "alignments": ALIGNMENTS, "cigar_reads": CIGARS}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -66,7 +66,7 @@ def test_every_event_is_an_interval(spark, tiny):
     covered = {}
     for e in events:
         start = 1 + e.event_id * 7919 % 900000
-        covered.setdefault(f"chr{e.user_id % 5 + 1}", set()).update(range(start, start + e.event_id % 40 + 1))
+        covered.setdefault(f"chr{e.user_id % 5 + 1}", set()).update(range(start, start + e.event_id % 400 + 1))
     assert {x.chrom: x.bases for x in queries()["interval_total_length"](spark, tiny).collect()} == {c: len(s) for c, s in covered.items()}
     assert queries()["annotate_info"](spark, tiny).where("info = 'DP=1'").count() == 0
 
