@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-m", "--min-af", type=float, default=0.001)
     c.add_argument("-Q", "--min-baseq", type=int, default=10)
     c.add_argument("-q", "--min-mapq", type=int, default=5)
+    c.add_argument("--ref-bias", type=float, default=0.5, help="share of a heterozygote's reads that show its other allele than the reference")
     c.add_argument("--max-alleles", type=int, default=6, choices=range(1, 11))
     c.add_argument("--filename-has-samplename", action="store_true")
 
@@ -100,7 +102,7 @@ def _in_regions(rows, regions: str):
 
 def run(argv: list[str]) -> None:
     from loomgrid.functions import flags, sequence
-    from loomgrid.operators import caller, fetal, fragments, intervals, pileup, variants
+    from loomgrid.operators import caller, fetal, fragments, intervals, pileup, records, variants
     from loomgrid.session import session
     from loomgrid.sources import text, vcf
 
@@ -123,17 +125,29 @@ def run(argv: list[str]) -> None:
         rows = _in_regions(rows, a.regions)
         n = rows.select("sample_id").distinct().count()
         least = pileup.min_af_for(max(1, n), a.min_af)
-        sites = caller.call_sites(rows, least, a.max_alleles)
-        sites.write.mode("overwrite").parquet(a.output)
+        as_text = a.output.endswith((".vcf", ".vcf.gz"))
+        table = a.output + ".sites" if as_text else a.output
+        caller.call_sites(rows, least, a.max_alleles).write.mode("overwrite").parquet(table)
+        sites, groups = spark.read.parquet(table), None
         if a.pop_group:
-            caller.group_af(rows, spark.read.parquet(a.output), text.read_groups(spark, a.pop_group), least, a.max_alleles).write.mode("overwrite").parquet(a.output + ".groups")
+            caller.group_af(rows, sites, text.read_groups(spark, a.pop_group), least, a.max_alleles).write.mode("overwrite").parquet(a.output + ".groups")
+            groups = spark.read.parquet(a.output + ".groups")
+        if as_text:
+            found, calls = records.annotated(rows, sites, n, groups, a.ref_bias)
+            names = sorted(x[0] for x in rows.select("sample_id").distinct().collect())  # the header names them all
+            known = text.lengths(chunks, a.reference + ".fai" if os.path.exists(a.reference + ".fai") else None) if a.reference else {x.chrom: x.top for x in sites.groupBy("chrom").agg(F.max("pos").alias("top")).collect()}
+            calls = calls.select("chrom", "pos", "sample_id", vcf.sample_text(*(F.col(c) for c in ("gt", "gq", "pl", "ad", "dp"))).alias("text"))
+            order = {c: i for i, c in enumerate(known)}
+            head = vcf.header(names, known.items(), sorted(x[0] for x in groups.select("group").distinct().collect()) if groups is not None else ())
+            vcf.write(vcf.lines(found, calls, names, order), head, a.output)
     elif a.command == "motif":
         reads = _alignments(spark, a).withColumn("pos", F.col("pos0") + 1).where(flags.motif_reads(flag, mapq, isize, a.reads, min_mapq=a.min_mapq, proper_pair=a.proper_pair, max_insert=a.max_insert_size))
         if a.regions:  # overlapping regions could give a read twice
             reads = fragments.once(_in_regions(reads, a.regions))
         motifs = reads.select("sample_id", sequence.end_motif(F.col("seq"), flags.bit(flag, "reverse"), a.length).alias("motif"))
         counts = fragments.frequencies(fragments.motif_counts(motifs, a.length, a.include_zero))
-        counts.orderBy("sample_id", "motif").write.mode("overwrite").csv(a.output, sep="\t", header=True)
+        table = counts.select(F.col("sample_id").alias("#sample"), "motif", "count", records.written("frequency", F.lit("%.6f")).alias("frequency"))
+        table.orderBy("#sample", "motif").write.mode("overwrite").csv(a.output, sep="\t", header=True)
         if a.fprofile and a.length == 4:
             fragments.decompose(counts, *text_profiles(spark, a.fprofile)).select("sample_id", F.array_join(F.transform("weights", lambda w: F.format_number(w, 6)), "\t").alias("weights")).write.mode("overwrite").csv(a.output + ".fprofile", sep="\t")
     elif a.command == "fetalfrac":
@@ -142,7 +156,10 @@ def run(argv: list[str]) -> None:
         counts = fetal.counters(reads, flags.counted_reads(flag, mapq, isize, min_mapq=a.min_mapq, proper_pair=a.proper_pair, max_insert=a.max_insert_size), a.build, bed)
         scale = fetal.scale_of(a.build, bed) if a.scale == "auto" else float(a.scale)
         out = fetal.fraction(counts, scale, a.noise, a.male_threshold)
-        out.orderBy("sample_id").write.mode("overwrite").csv(a.output, sep="\t", header=True)
+        eight = lambda c: records.written(c, F.lit("%.8f"))
+        counted = [F.col(c).alias(n) for c, n in (("auto", "valid_autosomal"), ("y", "valid_y"), ("par", "y_par_excluded"), ("total", "total_reads"), ("filtered", "filtered_reads"))]
+        table = out.select(F.col("sample_id").alias("#sample"), "sex", eight("fetal_fraction").alias("fetal_fraction"), eight("y_ratio").alias("y_ratio"), *counted, *[F.lit(f"{v:.8f}").alias(k) for k, v in (("scale", scale), ("noise", a.noise), ("male_threshold", a.male_threshold))])
+        table.orderBy("#sample").write.mode("overwrite").csv(a.output, sep="\t", header=True)
         if a.calibrate:
             fetal.calibrate(out, a.noise).write.mode("overwrite").csv(a.output + ".calibration", sep="\t", header=True)
     elif a.command == "subsam":

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from loomgrid.functions import genotypes as G
 from loomgrid.functions import phred
+from loomgrid.operators import genotype
+from loomgrid.operators.caller import moved
 from loomgrid.operators.genotype import SITE, _reads, observed_genotype
 
 #: Fixed value: the strand score of a vanishing p.
@@ -94,3 +96,65 @@ def rank_p(z: Column) -> Column:
 def written(x: pd.Series, pattern: pd.Series) -> pd.Series:
     """A number as C writes it (``%.6g``, ``%.3f``), ties by the binary value; the JVM rounds them up."""
     return pd.Series([None if pd.isna(v) else p % v for v, p in zip(x, pattern)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def listed(x: pd.Series) -> pd.Series:
+    """Numbers of an array with at most six significant digits each, by commas."""
+    return x.map(lambda a: ",".join("%.6g" % v for v in a), na_action="ignore")
+
+
+def as_written(pileup: DataFrame, sites: DataFrame) -> DataFrame:
+    """Reads at called sites (``chrom, pos, ref, alts``), their bases and reference as the site's alleles are."""
+    own = pileup.where(~F.upper("read_base").startswith("N")).join(sites.select(*SITE, "ref", "alts"), SITE)
+    return own.withColumn("read_base", moved(F.col("ref_base"), F.col("ref"), F.col("read_base"))).withColumn("ref_base", F.col("ref")).drop("ref", "alts")
+
+
+def _of_genotypes(calls: DataFrame, gt: str, ending: str) -> DataFrame:
+    """Per alternative and in all, the alleles of ``gt``: ``ac, an, af`` with an ending."""
+    n = F.size("alts")
+    each = calls.select(*SITE, n.alias("m"), F.explode(F.filter(gt, lambda a: a >= 0)).alias("a")).groupBy(*SITE, "m", "a").agg(F.count("*").alias("n"))
+    per = each.groupBy(*SITE, "m").agg(F.sum("n").alias("an"), F.map_from_entries(F.collect_list(F.struct("a", "n"))).alias("c"))
+    ac = F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0).cast("long")))
+    return per.withColumn("ac", ac).select(*SITE, F.col("ac").alias(f"ac{ending}"), F.col("an").alias(f"an{ending}"), F.transform("ac", lambda x: x / F.col("an")).alias(f"af{ending}"))
+
+
+def annotated(pileup: DataFrame, sites: DataFrame, n_samples: int, groups: DataFrame | None = None, alt_share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``sites`` with ``info``, and sample fields ``chrom, pos, sample_id, gt, gq, pl, ad, dp``.
+
+    ``sites``: ``chrom, pos, ref, alts, qual, dp, af``; ``groups``: ``chrom, pos, group, dp, af``.
+    Samples without reads enter allele counts and equilibrium by their number.  Rank sums stand at
+    sites of one alternative that show both alleles.
+    """
+    reads = as_written(pileup, sites)
+    own = genotype.counted(reads)
+    first = calls(own, sites, alt_share)
+    post = genotype.with_posterior(first.withColumnRenamed("gt", "gt_obs").drop("gq"), sites).withColumn("dose", allele_dosages(F.col("posterior"), F.size("alts") + 1))
+    an = 2 * n_samples
+    prior = allele_dosages(G.normalised(G.hw_prior(G.allele_freqs(F.col("af")))), F.size("alts") + 1)
+    seen = post.select(*SITE, F.posexplode("dose").alias("i", "x")).groupBy(*SITE, "i").agg(F.sum("x").alias("x"), F.count("*").alias("covered"))
+    seen = seen.groupBy(*SITE).agg(F.first("covered").alias("covered"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y.x).alias("dose"))
+    total = F.zip_with("dose", prior, lambda x, p: x + p * (F.lit(n_samples) - F.col("covered")))
+    strand = strands(reads, sites).select(*SITE, F.struct(F.col("alt"), F.struct("af", "ar", "fs", "sor").alias("v")).alias("e"))
+    strand = strand.groupBy(*SITE).agg(F.map_from_entries(F.collect_list("e")).alias("s"))
+    ref = reads.where("read_base = ref_base").groupBy(*SITE).agg(F.count_if(F.col("strand") == "+").alias("rf"), F.count_if(F.col("strand") == "-").alias("rr"))
+    out = sites.join(seen, SITE).join(strand, SITE).join(ref, SITE, "left").join(_of_genotypes(post, "gt_obs", "_obs"), SITE).join(_of_genotypes(post, "gt", "_gt"), SITE).join(hwe(first, n_samples).select(*SITE, F.col("p").alias("hwe")), SITE)
+    single = sites.where(F.size("alts") == 1).select(*SITE, F.get("alts", F.lit(0)).alias("alt"))
+    for v in ("bq", "mapq", "rpr"):
+        out = out.join(genotype.rank_sum(reads, single, v).where("n1 > 0 and n2 > 0").select(*SITE, F.col("z").alias(f"z_{v}")), SITE, "left")
+    out = out.withColumn("total", total).withColumn("strand", F.transform("alts", lambda a: F.element_at("s", a)))
+    ints = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    key = lambda k, v: F.concat(F.lit(k + "="), v)
+    four = F.flatten(F.concat(F.array(F.array(F.coalesce("rf", F.lit(0)), F.coalesce("rr", F.lit(0)))), F.transform("strand", lambda x: F.array(x.af, x.ar))))
+    fields = [
+        key("AF", listed(F.transform("total", lambda x: x / an))), key("AC", ints(F.transform("total", lambda x: F.round(x).cast("long")))), F.lit(f"AN={an}"), key("DP", F.col("dp").cast("string")), key("DP4", ints(four)),
+        key("FS", listed(F.transform("strand", lambda x: x.fs))), key("SOR", listed(F.transform("strand", lambda x: x.sor))),
+        *[key(f"{a}_{t}", v) for t in ("obs", "GT") for a, v in (("AC", ints(F.col(f"ac_{t}"))), ("AN", F.col(f"an_{t}").cast("string")), ("AF", listed(F.col(f"af_{t}"))))],
+        key("HWE", written("hwe", F.lit("%.6g"))), *[key(k, written(f"z_{v}", F.lit("%.3f"))) for k, v in (("BaseQRankSum", "bq"), ("MQRankSum", "mapq"), ("ReadPosRankSum", "rpr"))],
+    ]
+    if groups is not None:
+        own_groups = groups.withColumn("text", listed("af")).groupBy(*SITE).agg(F.array_sort(F.collect_list(F.struct("group", "dp", "text"))).alias("g"))
+        out = out.join(own_groups, SITE, "left")
+        fields.append(F.array_join(F.transform("g", lambda x: F.concat(F.lit("DP_"), x.group, F.lit("="), x.dp.cast("string"))), ";"))
+        fields.append(F.array_join(F.transform("g", lambda x: F.concat(F.lit("AF_"), x.group, F.lit("="), x.text)), ";"))
+    return out.select(*sites.columns, F.concat_ws(";", *fields).alias("info")), post.select(*SITE, "sample_id", "gt", "gq", "pl", "ad", "dp")

@@ -69,3 +69,11 @@ def sample_name(path, whole_stem: bool = True):
     """Sample name from a file's name: all but the extension, or what stands before the first dot."""
     base = F.element_at(F.split(path, "/"), -1)
     return F.regexp_replace(base, r"\.[^.]*$", "") if whole_stem else F.element_at(F.split(base, r"\."), 1)
+
+
+def lengths(chunks: DataFrame, fai: str | None = None, chunk: int = 10_000) -> dict[str, int]:
+    """Sequences and their lengths: in the order of an index, or by name from the chunks."""
+    if fai:
+        return {x.chrom: x.length for x in read_fai(chunks.sparkSession, fai).collect()}
+    end = F.col("chunk") * chunk + F.least(F.length("seq"), F.lit(chunk))
+    return {x.chrom: x.n for x in chunks.groupBy("chrom").agg(F.max(end).alias("n")).orderBy("chrom").collect()}

@@ -121,3 +121,52 @@ def test_drawn_rows_are_the_same_for_a_seed(spark):
 def test_written_as_in_c(spark):
     x = spark.createDataFrame([(1234567.0, "%.6g"), (0.00001234, "%.6g"), (0.5, "%.6g"), (28.5625, "%.3f"), (None, "%.3f")], "v double, p string")
     assert [y.t for y in x.select(records.written("v", "p").alias("t")).collect()] == ["1.23457e+06", "1.234e-05", "0.5", "28.562", None]
+
+
+def test_caller_writes_records(spark, tmp_path):
+    from loomgrid import cli
+    from loomgrid.sources import vcf
+
+    rng = random.Random(3)
+    rows = []
+    for pos, shown in ((5, "AC"), (50, "AACG"), (70, "A"), (90, ["A", "+TT"])):
+        rows += [("chr1", pos, "A", rng.choice(shown), rng.choice([25, 30, 35]), 60, f"S{i % 10}", rng.choice("+-"), rng.randint(1, 90), False) for i in range(60)]
+    spark.createDataFrame(rows, "chrom string, pos long, ref_base string, read_base string, bq int, mapq int, sample_id string, strand string, rpr long, is_dup boolean").write.parquet(str(tmp_path / "p"))
+    (tmp_path / "g.txt").write_text("".join(f"S{i}\t{'EU' if i < 5 else 'AS'}\n" for i in range(10)))
+    cli.run(["caller", "-I", str(tmp_path / "p"), "-o", str(tmp_path / "o.vcf"), "-G", str(tmp_path / "g.txt")])
+    text = [x.value for x in spark.read.text([str(tmp_path / "o.vcf/header"), str(tmp_path / "o.vcf/body")]).collect()]
+    (tmp_path / "one.vcf").write_text("\n".join(sorted(text, key=lambda t: (not t.startswith("##"), not t.startswith("#")))) + "\n")
+    sites, names = vcf.read_vcf(spark, str(tmp_path / "one.vcf"))
+    assert names == [f"S{i}" for i in range(10)]
+    got = {x.pos: x for x in sites.collect()}
+    assert {p: (x.ref, x.alts) for p, x in got.items()} == {5: ("A", ["C"]), 50: ("A", ["C", "G"]), 90: ("A", ["ATT"])}
+    calls = {(x.pos, x.sample_id): x for x in vcf.calls_of(sites, names).collect()}
+    for pos, site in got.items():
+        raw = {"ATT": "+TT"}
+        alleles = ["A", *[raw.get(a, a) for a in site.alts]]
+        own = [r for r in rows if r[1] == pos]
+        strands = [sum(r[3] == a and r[7] == s for r in own) for a in alleles for s in "+-"]
+        assert site.info["DP4"] == ",".join(map(str, strands)) and site.info["AN"] == "20" and int(site.info["DP"]) == len(own)
+        assert len(site.info["AF"].split(",")) == len(site.alts) == len(site.info["AF_EU"].split(",")) and int(site.info["DP_EU"]) + int(site.info["DP_AS"]) == len(own)
+        assert ("BaseQRankSum" in site.info) == (len(site.alts) == 1) and 0 <= float(site.info["HWE"]) <= 1
+        obs = [0] * len(alleles)
+        for i in range(10):
+            mine = [r for r in own if r[6] == f"S{i}"]
+            pl = plain_pl([(r[3], r[4], 1) for r in mine], alleles, 0.5)
+            f = calls[pos, f"S{i}"].fields
+            assert f["PL"] == ",".join(map(str, pl)) and f["AD"] == ",".join(str(sum(r[3] == a for r in mine)) for a in alleles)
+            for a in [(k, j) for j in range(len(alleles)) for k in range(j + 1)][pl.index(0)]:
+                obs[a] += 1
+        assert site.info["AC_obs"] == ",".join(map(str, obs[1:])) and site.info["AN_obs"] == "20"
+        gts = [a for i in range(10) for a in calls[pos, f"S{i}"].gt]
+        assert site.info["AC_GT"] == ",".join(str(gts.count(i + 1)) for i in range(len(site.alts)))
+
+
+def test_lengths_of_sequences(spark, tmp_path):
+    from loomgrid.sources import text
+
+    (tmp_path / "r.fa").write_text(">b\n" + "ACGT" * 3000 + "\n>a\nACG\n")
+    chunks = text.read_fasta(spark, str(tmp_path / "r.fa"))
+    assert text.lengths(chunks) == {"a": 3, "b": 12000}
+    (tmp_path / "r.fa.fai").write_text("b\t12000\t3\t12000\t12001\na\t3\t12007\t3\t4\n")
+    assert list(text.lengths(chunks, str(tmp_path / "r.fa.fai"))) == ["b", "a"]
