@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import genotypes as G
@@ -12,11 +12,23 @@ SITE = ["chrom", "pos"]
 
 def counted(pileup: DataFrame) -> DataFrame:
     """Reads of equal sample, base and quality in one row with their number ``reads``, and all rows of
-    a site together.  The steps of this module take such tables as well as single reads; on them
-    grouping and joining by site or below needs no further shuffle."""
+    a site together.  The steps of this module take such tables as well as single reads."""
     return pileup.groupBy(*SITE, "sample_id", "ref_base", "read_base", "bq").agg(F.count("*").alias("reads")).repartition(*SITE)
 
 
+def at_sites(pileup: DataFrame) -> DataFrame:
+    """``counted`` reads at biallelic sites with the alternative ``alt`` and its share ``af`` of the reads
+    that show REF or it.  Both come from windows over the site, so all that follows by site or below
+    (``calls``, ``with_posterior``) needs neither a join nor a further shuffle."""
+    site = Window.partitionBy(*SITE)
+    base, ref, alt, n = F.col("read_base"), F.col("ref_base"), F.col("alt"), F.col("reads")
+    rows = counted(pileup).withColumn("depth", F.sum(n).over(Window.partitionBy(*SITE, "read_base")))
+    deepest = F.max_by(F.when(base != ref, base), F.when(base != ref, F.struct("depth", (-F.ascii(base)).alias("order"))))
+    rows = rows.withColumn("alt", deepest.over(site)).where("alt is not null")
+    of_alt, of_ref = (F.sum(F.when(base == x, n).otherwise(0)).over(site) for x in (alt, ref))
+    return rows.withColumn("af", F.array(of_alt / (of_alt + of_ref))).drop("depth")
+
+
 def _reads(pileup: DataFrame) -> Column:
     return F.col("reads") if "reads" in pileup.columns else F.lit(1)
 
@@ -28,20 +40,22 @@ def biallelic_sites(pileup: DataFrame) -> DataFrame:
     return depth.where(F.col("read_base") != F.col("ref_base")).groupBy(*SITE, "ref_base").agg(alt.alias("alt"))
 
 
-def calls(pileup: DataFrame, sites: DataFrame) -> DataFrame:
-    """``chrom, pos, sample_id, ad, dp, pl`` of covered samples at biallelic sites.
+def calls(pileup: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """``chrom, pos, sample_id, ad, dp, pl`` of covered samples at biallelic sites, which are given or come
+    with the reads (``at_sites``, whose ``af`` is kept).
 
     Log-likelihoods of the three genotypes are sums over reads, so they are formed before the
     shuffle; no read list is gathered.
     """
-    own, n = pileup.join(sites.select(*SITE, "alt"), SITE), _reads(pileup)
+    own, n = pileup if sites is None else pileup.join(sites.select(*SITE, "alt"), SITE), _reads(pileup)
+    of_site = ["ref_base", "alt", *(["af"] if sites is None else [])]
     alleles = F.array("ref_base", "alt")
     pair = {"l0": (0, 0), "l1": (0, 1), "l2": (1, 1)}
     sums = [F.sum(n * G.read_log10(F.col("read_base"), F.col("bq"), F.get(alleles, F.lit(a)), F.get(alleles, F.lit(b)))).alias(x) for x, (a, b) in pair.items()]
     shown = lambda c: F.sum(F.when(F.col("read_base") == F.col(c), n).otherwise(0))
-    got = own.groupBy(*SITE, "sample_id", "ref_base", "alt").agg(*sums, shown("ref_base").alias("ref_n"), shown("alt").alias("alt_n"))
+    got = own.groupBy(*SITE, "sample_id", *of_site).agg(*sums, shown("ref_base").alias("ref_n"), shown("alt").alias("alt_n"))
     pl = G.phred(F.array("l0", "l1", "l2"))
-    return got.select(*SITE, "sample_id", "ref_base", "alt", F.array("ref_n", "alt_n").alias("ad"), (F.col("ref_n") + F.col("alt_n")).alias("dp"), pl.alias("pl"))
+    return got.select(*SITE, "sample_id", *of_site, F.array("ref_n", "alt_n").alias("ad"), (F.col("ref_n") + F.col("alt_n")).alias("dp"), pl.alias("pl"))
 
 
 def observed_genotype(pl: Column) -> Column:
@@ -51,12 +65,12 @@ def observed_genotype(pl: Column) -> Column:
     return F.array(g.k, g.j)
 
 
-def with_posterior(calls: DataFrame, afs: DataFrame) -> DataFrame:
+def with_posterior(calls: DataFrame, afs: DataFrame | None = None) -> DataFrame:
     """Adds ``posterior, gt, gq, dosage`` under a Hardy-Weinberg prior of the site's frequencies
-    (``afs``: ``chrom, pos, af array``, one per alternative)."""
+    (``afs``: ``chrom, pos, af array``, one per alternative; without it the calls' own ``af``)."""
     freqs = G.allele_freqs(F.col("af"))
     post = G.posterior(G.from_pl(F.col("pl")), G.hw_prior(freqs))
-    out = calls.join(afs.select(*SITE, "af"), SITE).withColumn("posterior", post)
+    out = (calls if afs is None else calls.join(afs.select(*SITE, "af"), SITE)).withColumn("posterior", post)
     best = G.argmax(F.transform("posterior", lambda x: F.round(x, 12)))  # the first of equals, whatever the order of the products
     pair = F.get(G.pairs(F.size(freqs)), best)
     return out.withColumns({"gt": F.array(pair.k, pair.j), "gq": G.quality(F.array_max("posterior")), "dosage": G.dosage(F.col("posterior"), F.size(freqs))})
@@ -116,8 +130,6 @@ def rank_sum(pileup: DataFrame, sites: DataFrame, value: str) -> DataFrame:
 
     Ranks come from the counts of distinct values, so the window runs over a site's values.
     """
-    from pyspark.sql import Window
-
     own = pileup.join(sites.select(*SITE, "alt"), SITE).where((F.col("read_base") == F.col("ref_base")) | (F.col("read_base") == F.col("alt")))
     per = own.groupBy(*SITE, F.col(value).alias("v")).agg(F.count("*").alias("n"), F.count_if(F.col("read_base") == F.col("ref_base")).alias("n_ref"))
     above = F.sum("n").over(Window.partitionBy(*SITE).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))

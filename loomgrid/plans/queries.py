@@ -180,37 +180,34 @@ post as (select *, q0 * h0 / t z0, q1 * h1 / t z1, q2 * h2 / t z2 from (select l
 
 
 def _calls(spark, d):
-    p = genotype.counted(reads(spark, d))
-    return p, (s := genotype.biallelic_sites(p)), genotype.calls(p, s)
+    return genotype.calls(genotype.at_sites(reads(spark, d)))
 
 
 def _post(spark, d):
-    p, s, c = _calls(spark, d)
-    return genotype.with_posterior(c, genotype.read_af(p, s))
+    return genotype.with_posterior(_calls(spark, d))
 
 
 @query(f"with {CALLS} select chrom, pos, sample_id, p0, p1, p2, rn ref_depth, an alt_depth from calls")
 def genotype_pl(spark, d):
-    c = _calls(spark, d)[2]
+    c = _calls(spark, d)
     return c.select(*SITE, "sample_id", *[F.get("pl", F.lit(i)).alias(f"p{i}") for i in range(3)], F.get("ad", F.lit(0)).alias("ref_depth"), F.get("ad", F.lit(1)).alias("alt_depth"))
 
 
 @query(f"with {CALLS} select chrom, pos, sample_id, case when p0 = 0 then '0/0' when p1 = 0 then '0/1' else '1/1' end gt, p0 + p1 + p2 - greatest(p0, p1, p2) - least(p0, p1, p2) gq from calls")
 def genotype_legacy_gt_gq(spark, d):
-    c = _calls(spark, d)[2]
+    c = _calls(spark, d)
     return c.select(*SITE, "sample_id", variants.unphased(genotype.observed_genotype(F.col("pl"))).alias("gt"), G.second_smallest(F.col("pl")).alias("gq"))
 
 
 @query(f"with {LIK} select chrom, pos, sample_id, round(q0, 6) q0, round(q1, 6) q1, round(q2, 6) q2 from lik")
 def pl_to_likelihood(spark, d):
-    c = _calls(spark, d)[2].withColumn("q", G.from_pl(F.col("pl")))
+    c = _calls(spark, d).withColumn("q", G.from_pl(F.col("pl")))
     return c.select(*SITE, "sample_id", *[r(F.get("q", F.lit(i))).alias(f"q{i}") for i in range(3)])
 
 
 @query(f"with {LIK} select chrom, pos, round(h0, 6) h0, round(h1, 6) h1, round(h2, 6) h2 from prior")
 def hw_prior(spark, d):
-    p = genotype.counted(reads(spark, d))
-    a = genotype.read_af(p, genotype.biallelic_sites(p)).withColumn("h", G.hw_prior(G.allele_freqs(F.col("af"))))
+    a = genotype.at_sites(reads(spark, d)).select(*SITE, "af").distinct().withColumn("h", G.hw_prior(G.allele_freqs(F.col("af"))))
     return a.select(*SITE, *[r(F.get("h", F.lit(i))).alias(f"h{i}") for i in range(3)])
 
 
@@ -228,7 +225,7 @@ def dosage_ac_an(spark, d):
 
 @query(f"with {CALLS} select chrom, pos, cast(sum(case when p0 = 0 then 0 when p1 = 0 then 1 else 2 end) as bigint) ac, 2 * count(*) an, round(sum(case when p0 = 0 then 0 when p1 = 0 then 1 else 2 end) / (2.0e0 * count(*)), 6) af from calls group by all")
 def ac_obs_an_obs(spark, d):
-    c = _calls(spark, d)[2].withColumn("gt", genotype.observed_genotype(F.col("pl")))
+    c = _calls(spark, d).withColumn("gt", genotype.observed_genotype(F.col("pl")))
     return genotype.counts(c).withColumn("af", r("af"))
 
 
@@ -256,14 +253,14 @@ chi as (select *, case when n * p * p > 1e-10 then pow(n0 - n * p * p, 2) / (n *
 
 @query(f"with {HWE} select chrom, pos, round(n0, 6) n0, round(n1, 6) n1, round(n2, 6) n2, round(chi2, 6) chi2 from chi")
 def hwe_chi2(spark, d):
-    h = genotype.hwe(_calls(spark, d)[2], N_SAMPLES)
+    h = genotype.hwe(_calls(spark, d), N_SAMPLES)
     return h.select(*SITE, *[r(c).alias(c) for c in ("n0", "n1", "n2", "chi2")])
 
 
 @query(f"""with recursive {HWE}, tail as (select chrom, pos, chi2, 0 k, sqrt(chi2 / 2) t, sqrt(chi2 / 2) s from chi union all select chrom, pos, chi2, k + 1, t * chi2 / (2.0e0 * (k + 1) + 1), s + t * chi2 / (2.0e0 * (k + 1) + 1) from tail where k < 120)
 select chrom, pos, round(greatest(0, 1 - 2 / sqrt(pi()) * exp(-chi2 / 2) * s), 6) p from tail where k = 120""")
 def hwe_pvalue(spark, d):
-    h = genotype.hwe(_calls(spark, d)[2], N_SAMPLES)
+    h = genotype.hwe(_calls(spark, d), N_SAMPLES)
     return h.select(*SITE, r(phred.chi2_tail_series(F.col("chi2"))).alias("p"))
 
 
